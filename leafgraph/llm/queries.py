@@ -41,12 +41,27 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafgraph.llm.sentencepieces import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return decode(encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafgraph.llm.language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafgraph.llm.substring_dedup import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafgraph.llm.warc import round_trip
 
@@ -60,4 +75,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_pii, op4_toxicity, op5_simhash_dedup, op7_language_id, op9_warc, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_pii, op4_toxicity, op5_simhash_dedup, op6_sentencepieces, op7_language_id, op8_substring_dedup, op9_warc, op10_fingerprints)}
