@@ -74,5 +74,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_pii, op4_toxicity, op5_simhash_dedup, op6_sentencepieces, op7_language_id, op8_substring_dedup, op9_warc, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_pii, op4_toxicity, op5_simhash_dedup, op6_sentencepieces, op7_language_id, op8_substring_dedup, op9_warc, op10_fingerprints, pipeline)}

@@ -435,10 +435,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 
 
 def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with its ``score``: (doc_id, held_out, score), or the columns ``keep`` and score."""
+    """Scores of ``docs``: (doc_id, held_out, score), or the columns ``keep`` and ``_score``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
-    kept = keep or ["doc_id", "held_out"]
+    kept, name = (keep, "_score") if keep else (["doc_id", "held_out"], "score")
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
@@ -447,9 +447,9 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores = score_texts(held.value, texts) if held.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
 
-    schema = source.select(*kept).withColumn("score", F.lit(0.0)).schema
+    schema = source.select(*kept).withColumn(name, F.lit(0.0)).schema
     return source.mapInArrow(scan, schema)
 
 
