@@ -44,10 +44,9 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from leafgraph.llm.sentencepieces import decode, encode
+    from leafgraph.llm.sentencepieces import encode
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    return decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), back=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,11 @@ MEMORY_BYTES = 8 << 20
 #: Units of more characters are folded one by one.
 LONG = 32
 #: Units in one lattice.
-TOGETHER = 20_000
+TOGETHER = 5_000
 NONE = 1 << 30
+#: Characters of the texts that are encoded together.
+SLICE_CHARS = 1 << 20
+MARK = "\x01"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 _models: dict[str, Pieces] = {}
@@ -67,9 +70,12 @@ class Pieces:
             raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hashes >> np.uint64(44)] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.held = 0
-        self.newline = self.scalar("\n")
+        back = [r.replace(SPACE.encode(), b" ") for r in self.raw]
+        self.back = np.frombuffer(b"".join(back), np.uint8)
+        self.back_size = np.array([len(r) for r in back])
+        self.back_start = np.cumsum(self.back_size) - self.back_size
 
     BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -185,18 +191,20 @@ class Pieces:
         cuts.reverse()
         return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def units_of(self, text: str) -> list[list[str]]:
-        """The units of each line of a text; the first line has a space put before it."""
-        lines = (" " + text).split("\n")
-        return [UNIT.findall(line.replace(" ", SPACE)) for line in lines]
+    def units_of(self, text: str) -> list[str]:
+        """The units of a text, which gets a space put before it; line ends are units."""
+        if "  " in text or text[:1] == " " or SPACE in text or MARK in text:
+            lines = [UNIT.findall(line.replace(" ", SPACE)) for line in (" " + text).split("\n")]
+            return lines[0] + [u for line in lines[1:] for u in ("\n", *line)]
+        return (" " + text).replace(" ", MARK + SPACE).replace("\n", MARK + "\n" + MARK).split(MARK)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of whole texts."""
         if self.held > MEMORY_BYTES:
-            self.known, self.held = {}, 0
+            self.known, self.held = {"": b""}, 0
         split = [self.units_of(t) if t else [] for t in texts]
         known = self.known
-        new = {u for lines in split for line in lines for u in line if u not in known}
+        new = {u for units in split for u in units if u not in known}
         by_size: dict[int, list[str]] = {}
         for u in new:
             by_size.setdefault(len(u), []).append(u)
@@ -211,12 +219,23 @@ class Pieces:
                     self.held += size * len(part)
         if once:
             known = known | once
-        return [self.newline.join([b"".join([known[u] for u in line]) for line in lines]) for lines in split]
+        return [b"".join([known[u] for u in units]) for units in split]
+
+    def decode_batch(self, ids, sizes) -> list[bytes]:
+        """The texts, in UTF-8, of ids in a row; ``sizes`` ids belong to each text."""
+        import numpy as np
+
+        n = self.back_size[ids]
+        ends = np.cumsum(n)
+        data = self.back[np.repeat(self.back_start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.r_[0, ends][np.cumsum(np.r_[0, sizes])].tolist()
+        return [data[a:b].removeprefix(b" ") for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, in UTF-8."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).replace(SPACE.encode(), b" ").removeprefix(b" ")
+        import numpy as np
+
+        return self.decode_batch(np.asarray(ids, np.int64), [len(ids)])[0]
 
 
 def pieces(path: str) -> Pieces:
@@ -225,8 +244,18 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs(doc_id, text)`` as (doc_id, ids)."""
+def sliced(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into slices of about SLICE_CHARS characters."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= SLICE_CHARS or k == len(texts) - 1:
+            yield start, k + 1
+            start, held = k + 1, 0
+
+
+def encode(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` as (doc_id, ids), and with ``back`` the text ``decoded`` from the ids."""
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
@@ -234,14 +263,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         model = pieces(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            raw = model.encode_batch(texts)
-            ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, ids array<int>")
+            every = batch.column("text").to_pylist()
+            for a, b in sliced(every):
+                texts = every[a:b]
+                raw = model.encode_batch(texts)
+                sizes = np.array([len(x) // 4 for x in raw])
+                values = np.frombuffer(b"".join(raw), "<i4")
+                missing = pa.array([t is None for t in texts], pa.bool_())
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, sizes]).astype(np.int32)), pa.array(values), mask=missing)
+                out = [batch.column("doc_id").slice(a, b - a), ids]
+                if back:
+                    out.append(pa.array([None if t is None else x.decode("utf-8", "replace") for t, x in zip(texts, model.decode_batch(values, sizes))], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "decoded"][: len(out)])
+
+    schema = "doc_id long, ids array<int>" + ", decoded string" * back
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -52,4 +52,6 @@ def test_round_trip(spark):
     out = decode(encode(spark.createDataFrame(rows, DOCS).repartition(3), PATH), PATH).collect()
     assert sorted(((r.doc_id, r.decoded) for r in out), key=repr) == sorted((r[:2] for r in rows), key=repr)
     assert {(r.ids is None) == (r.decoded is None) for r in out} == {True}
+    both = encode(spark.createDataFrame(rows, DOCS), PATH, back=True).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, out))
     assert encode(spark.createDataFrame([], DOCS), PATH).count() == 0
