@@ -32,6 +32,8 @@ from leafgraph.llm.common import durable, fresh_path, join_by_key
 
 FILE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
+#: Compressed bytes given to the decompressor at once.
+READ_BYTES = 4096
 #: Index rows merged by one task.
 MERGED_ROWS = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -76,11 +78,15 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, size
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, stored bytes, headers, block) of each record of an archive file."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(memoryview(data)[at:]) if at else member.decompress(data)
-        end = len(data) - len(member.unused_data)
+        member, out, end = zlib.decompressobj(31), [], at
+        while not member.eof and end < len(data):  # small steps: what is left over is copied
+            step = view[end : end + READ_BYTES]
+            out.append(member.decompress(step))
+            end += len(step)
+        end -= len(member.unused_data)
+        raw = b"".join(out)
         if not member.eof:
             raise ValueError("the archive ends inside a record")
         head, _, rest = raw.partition(b"\r\n\r\n")
