@@ -4,7 +4,7 @@ A word enters the network as a learned vector, the log odds of its class and the
 mean vector of its character trigrams, so unknown words still have their characters.
 The network reads overlapping windows of words in both directions; attention pools
 its states into one logit.  A document's score is the calibrated logit of its
-highest window.  All is trained in numpy, on the driver, on a bounded sample of the
+highest window.  All is trained in numpy, by one task, on a bounded sample of the
 labelled documents (at most POSITIVES and NEGATIVES, of at most SAMPLE_CHARS
 characters each); every window of every whole text is scored.
 
@@ -16,9 +16,12 @@ each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter
-from collections.abc import Iterator
+import subprocess
+import sys
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ POSITIVES, NEGATIVES, SAMPLE_CHARS = 3000, 4000, 20_000
 MIN_DF, MAX_VOCABULARY = 3, 100_000
 FOLDS = 5
 ROUNDS, EPOCHS, BATCH = 3, 3, 256
+#: Steps of a round at least; small samples go in smaller batches, more often.
+LEAST_STEPS = 80
 THRESHOLD = 0.7
 #: Windows scored at once.
 CHUNK = 2048
@@ -37,6 +42,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Characters of a text split into words at once.
 BLOCK = 1 << 20
 
+_loaded: list = []
+
 
 def words_of(text: str) -> list[str]:
     """The lower-case words of a whole text."""
@@ -64,7 +71,7 @@ def trigrams(words: list[str]):
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     starts = np.cumsum(sizes + 2) - (sizes + 2)
     inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return h[inside].astype(np.int64), sizes
+    return h[inside].astype(np.int16), sizes
 
 
 def mean_rows(table, flat, sizes):
@@ -151,11 +158,11 @@ def pool(net, states, mask):
     return pooled @ net["wo"] + net["bo"], (s, a, pooled)
 
 
-def forward(net, x, mask):
-    """Logits of windows from inputs (T, B, D)."""
+def forward(net, x, mask, keep: bool = True):
+    """Logits of windows from inputs (T, B, D), and what the gradient needs."""
     import numpy as np
 
-    kf, kb = [], []
+    kf, kb = ([], []) if keep else (None, None)
     f = recur(x @ net["wxf"] + net["bxf"], mask, net["uf"], kf)
     b = recur((x @ net["wxb"] + net["bxb"])[::-1], mask[::-1], net["ub"], kb)[::-1]
     states = np.concatenate([f, b], axis=2)
@@ -212,38 +219,50 @@ def gathered(flat, start, end):
 class Trainer:
     """Fits the network to documents: lists of words with a label each."""
 
-    def __init__(self, docs: list[list[str]], labels: list[int]):
+    def __init__(self, docs: Iterable[list[str]], labels: list[int]):
         import numpy as np
 
         self.y = np.asarray(labels, np.float32)
-        fold = np.arange(len(docs)) % FOLDS
-        df = Counter(w for d in docs for w in set(d))
-        known = sorted((w for w, n in df.items() if n >= MIN_DF), key=lambda w: (-df[w], w))[:MAX_VOCABULARY]
-        self.number = {w: i + 1 for i, w in enumerate(known)}  # 0: unknown
-        every = list(self.number) + [w for w in df if w not in self.number]
-        index = {w: i + 1 for i, w in enumerate(every)}
-        self.flat = np.fromiter((index[w] for d in docs for w in d), np.int64)
-        self.word = np.r_[0, np.arange(1, len(known) + 1), np.zeros(len(every) - len(known), np.int64)]
-        self.tri, sizes = trigrams(every)
-        self.tri_size = np.r_[0, sizes]
+        # words become numbers as the documents are read; no list of words is kept
+        index: dict[str, int] = {}
+        numbered = [np.fromiter((index.setdefault(w, len(index)) for w in d), np.int32) for d in docs]
+        sizes = [len(d) for d in numbered]
+        fold = np.arange(len(numbered)) % FOLDS
+        flat = np.concatenate([np.empty(0, np.int32), *numbered])
+        unique = [np.unique(d) for d in numbered]
+        del numbered
+        df = np.bincount(np.concatenate([np.empty(0, np.int32), *unique]), minlength=len(index))
+        every = list(index)
+        del index
+        common = np.flatnonzero(df >= MIN_DF)
+        order = sorted(common.tolist(), key=lambda i: (-df[i], every[i]))[:MAX_VOCABULARY]
+        self.number = {every[i]: k + 1 for k, i in enumerate(order)}  # 0: unknown
+        self.word = np.zeros(len(every), np.int32)
+        self.word[order] = np.arange(1, len(order) + 1)
+        self.flat = flat
+        del flat, df, common
+        parts = [trigrams(every[a : a + 20_000]) for a in range(0, len(every), 20_000)]
+        self.tri = np.concatenate([np.empty(0, np.int16), *(t for t, _ in parts)])
+        self.tri_size = np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)])
         self.tri_start = np.cumsum(self.tri_size) - self.tri_size
+        del every
         # log odds of the known words, for each fold from the other folds, and from all
-        counts = np.zeros((FOLDS, 2, len(known) + 1))
-        for d, c, k in zip(docs, labels, fold):
-            seen = [self.number[w] for w in set(d) if w in self.number]
-            counts[k, c, seen] += 1
-        sizes = np.array([[((fold == k) & (self.y == c)).sum() for c in (0, 1)] for k in range(FOLDS)])
-        total, n = counts.sum(axis=0), sizes.sum(axis=0)
+        counts = np.zeros((FOLDS, 2, len(order) + 1))
+        for d, c, k in zip(unique, labels, fold):
+            counts[k, c, self.word[d]] += 1
+        counts[:, :, 0] = 0
+        members = np.array([[((fold == k) & (self.y == c)).sum() for c in (0, 1)] for k in range(FOLDS)])
+        total, n = counts.sum(axis=0), members.sum(axis=0)
 
         def odds(c, n):
             out = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
             out[0] = 0
             return (out * np.minimum(1, c.sum(axis=0) / 8) / 3).astype(np.float32)
 
-        self.odds = [odds(total - counts[k], n - sizes[k]) for k in range(FOLDS)] + [odds(total, n)]
-        self.start, self.end, self.doc = windows([len(d) for d in docs])
+        self.odds = [odds(total - counts[k], n - members[k]) for k in range(FOLDS)] + [odds(total, n)]
+        self.start, self.end, self.doc = windows(sizes)
         self.fold = fold
-        self.net = new_network(len(known) + 1)
+        self.net = new_network(len(order) + 1)
         self.state: dict = {}
         self.steps = 0
 
@@ -263,7 +282,7 @@ class Trainer:
     def logits(self, rows):
         import numpy as np
 
-        out = [forward(self.net, *self.inputs(rows[a : a + CHUNK])[:2])[0] for a in range(0, len(rows), CHUNK)]
+        out = [forward(self.net, *self.inputs(rows[a : a + CHUNK])[:2], keep=False)[0] for a in range(0, len(rows), CHUNK)]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def update(self, g: dict, rate: float) -> None:
@@ -321,10 +340,11 @@ class Trainer:
             more = rng.choice(clean, min(len(clean), len(top)), replace=False) if len(clean) else clean
             rows = np.concatenate([top, more])
             y = self.y[self.doc[rows]]
-            for epoch in range(EPOCHS):
+            batch = min(BATCH, max(32, len(rows) // 16))
+            for _ in range(max(EPOCHS, -(-LEAST_STEPS * batch // max(1, len(rows))))):
                 order = rng.permutation(len(rows))
-                for a in range(0, len(order), BATCH):
-                    part = order[a : a + BATCH]
+                for a in range(0, len(order), batch):
+                    part = order[a : a + batch]
                     self.step(rows[part], y[part], 0.01 / (1 + turn))
             if turn < ROUNDS - 1:
                 hard = np.flatnonzero(value > np.quantile(value, 0.5)) if len(value) else np.zeros(0, int)
@@ -419,7 +439,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
     """The model learned from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -428,13 +448,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # POSITIVES + NEGATIVES rows at most
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") <= SAMPLE_CHARS)
     found = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(found.select(mixed.alias("k"), "doc_id", "text", "toxic").collect())
-    if len({r["toxic"] for r in rows}) < 2:
-        return None
-    return Trainer([words_of(r["text"]) for r in rows], [r["toxic"] for r in rows]).fit()
+    def train(batches: Iterator) -> Iterator:
+        import pickle
+
+        import pyarrow as pa
+
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("k", "doc_id", "text", "toxic"))))
+        if len({r[3] for r in rows}) == 2:
+            # a process of its own gives its memory back before the texts are scored
+            path = os.pathsep.join([str(Path(__file__).resolve().parents[2]), os.environ.get("PYTHONPATH", "")])
+            data = pickle.dumps(([r[2] for r in rows], [r[3] for r in rows]))
+            done = subprocess.run([sys.executable, "-m", "leafgraph.llm.toxicity"], input=data, stdout=subprocess.PIPE, env=os.environ | {"PYTHONPATH": path}, check=True)
+            yield pa.RecordBatch.from_arrays([pa.array([done.stdout], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task trains; the driver gets the model alone
+    fitted = found.select(mixed.alias("k"), "doc_id", "text", "toxic").repartition(1).mapInArrow(train, "model binary").collect()
+    return bytes(fitted[0]["model"]) if fitted else None
+
+
+def loaded(data: bytes) -> dict:
+    """The model from its bytes, once for each worker."""
+    import pickle
 
+    if not _loaded or _loaded[0] != data:
+        _loaded[:] = [data, pickle.loads(data)]
+    return _loaded[1]
 
-def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
+
+def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None) -> DataFrame:
     """Scores of ``docs``: (doc_id, held_out, score), or the columns ``keep`` and ``_score``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
@@ -446,7 +487,7 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores = score_texts(held.value, texts) if held.value else np.zeros(len(texts))
+            scores = score_texts(loaded(held.value), texts) if held.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
 
     schema = source.select(*kept).withColumn(name, F.lit(0.0)).schema
@@ -456,3 +497,17 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from THRESHOLD on) of every document."""
     return score(docs, fit(docs, labels)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def train_here() -> None:
+    """Read pickled texts and labels, write the pickled model."""
+    import pickle
+
+    texts, labels = pickle.load(sys.stdin.buffer)
+    texts.reverse()
+    trainer = Trainer((words_of(texts.pop()) for _ in range(len(texts))), labels)  # texts go as they are read
+    sys.stdout.buffer.write(pickle.dumps(trainer.fit()))
+
+
+if __name__ == "__main__":
+    train_here()
