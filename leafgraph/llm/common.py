@@ -83,18 +83,47 @@ def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, t
     return hot.select(*rest.columns).unionByName(rest)
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+#: Edges (16 bytes each) that one task may join in memory.
+LOCAL_EDGES = 500_000
+
+
+def united(batches: Iterator) -> Iterator:
+    """Union by least root of the edges of one task."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, tag: str = "cc", local: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)`` as ``(node, root)``.
 
     ``root`` is the smallest node of the component.  Alternates the large-star and
     small-star steps until nothing changes; a node of any degree is reduced by
-    partial aggregation and its edges are joined through ``join_by_key``.
-    Nodes are non-null longs; loops are ignored; no edges give no rows.
+    partial aggregation and its edges are joined through ``join_by_key``.  Up to
+    ``local`` edges, counted first, are joined by one task instead; the result is
+    the same.  Nodes are non-null longs; loops are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
     current = durable(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
     )
+    if current.count() <= local:
+        return current.repartition(1).mapInArrow(united, "node long, root long")
     before = None
     while True:
         mark = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

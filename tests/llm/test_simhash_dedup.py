@@ -106,8 +106,9 @@ def test_against_plain_version(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(found[i] == 0 for i in range(41)) and all(found[1000 + i] == 1000 for i in range(300))
+    for local in (0, 10_000):  # by rounds of stars, and by one task
+        found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
+        assert all(found[i] == 0 for i in range(41)) and all(found[1000 + i] == 1000 for i in range(300)) and len(found) == 341
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
