@@ -14,11 +14,12 @@ from leafgraph.llm.common import durable, ready, table
 from leafgraph.llm.exact_dedup import deduplicate
 from leafgraph.llm.packing import pack
 from leafgraph.llm.pii import pseudonymise
-from leafgraph.llm.simhash_dedup import near_duplicates
+from leafgraph.llm.similar import similar_documents
 from leafgraph.llm.toxicity import THRESHOLD, fit, score
 
-#: Words of a shingle in the near-duplicate stage.
+#: Words of a shingle and least share of common shingles in the near-duplicate stage.
 SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +50,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash of five-word shingles links them, the one with the least id stays."""
+    """Of documents linked by SimHash or by a similarity of five-word shingles of 0.8 or more, the one with the least id stays."""
     ready(spark)
     docs = keyed(docs)
-    found = near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"), shingle=SHINGLE)
+    found = similar_documents(docs.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, SIMILARITY)
     return chosen(docs, found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")))
 
 

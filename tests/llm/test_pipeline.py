@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from leafgraph.llm.simhash_dedup import simhash
+from tests.llm.test_similar import plain_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,13 +39,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
         kept.setdefault(" ".join((r.text or "").split()), r.doc_id)
     assert sorted(r.doc_id for r in unique.collect()) == sorted(kept.values()) and unique.columns == docs.columns
     apart = P.near_dedup(spark, unique, d)
-    prints = {r.doc_id: simhash((r.text or "").encode(), 5) % (1 << 64) for r in unique.collect()}
-    group = {i: i for i in prints}
-    for _ in prints:
-        new = {i: min(group[j] for j in prints if bin(prints[i] ^ prints[j]).count("1") <= 2) for i in prints}
-        if new == group:
-            break
-        group = new
+    group = plain_groups({r.doc_id: r.text for r in unique.collect()})
+    assert any(i >= 2000 for i in group) and not any(2000 <= r.doc_id < 3000 for r in apart.collect())
     assert sorted(r.doc_id for r in apart.collect()) == sorted(set(group.values()))
     masked = P.pii(spark, apart, d)
     before, after = {r.doc_id: r for r in apart.collect()}, {r.doc_id: r for r in masked.collect()}
