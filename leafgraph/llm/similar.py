@@ -9,9 +9,11 @@ looked for exactly:
 * shingle hashes are put in one order, the common ones last; two sets of n and m hashes
   with similarity t share a hash among the first n - ceil(t n) + 1 and m - ceil(t m) + 1,
   so only these hashes are joined;
-* the members of a hash are compared with its pivot, in ROUNDS rounds with pivots that
-  differ; linked documents form groups, and what is left to compare are members of
-  different groups that were not compared yet, so large groups of copies cost little;
+* the members of a hash of over DENSE documents are compared with its pivot, in ROUNDS
+  rounds with pivots that differ; linked documents form groups, and what is left to
+  compare are members of different groups, so large groups of copies cost little;
+* of these pairs only those go on that share so many of the joined hashes that the rest
+  of the sets could make them similar;
 * a comparison counts the hashes of both whole texts.  The text of a pivot goes to as many
   slots as its partners need, and each slot is read as a stream.
 
@@ -137,26 +139,25 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     tokens = durable(leading(docs, shingle, least_share, common), "leading")
     shared = durable(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     total = shared.agg(F.sum("size")).first()[0] or 0
-    rows = durable(join_by_key(tokens, shared, ["token"], "size", total), "rows") if total else None
+    rows = distinct_buckets(durable(join_by_key(tokens, shared, ["token"], "size", total).drop("size"), "rows")) if total else None
 
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
     for step in range(ROUNDS + 1 if total else 0):
         groups = durable(components(edges), "groups")
         known = grouped(rows, groups)
         mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "n", "root"), order(step)).alias("p"), F.count(F.lit(1)).alias("size"))
-        mixed = durable(mixed.filter("low <> high").select("token", "p", "size"), "mixed")
-        if mixed.isEmpty():
-            break
+        crowded = F.col("size") > (DENSE if step < ROUNDS else 1)
+        mixed = durable(mixed.filter((F.col("low") != F.col("high")) & crowded).select("token", "p", "size"), "mixed")
         left = join_by_key(known, mixed, ["token"], "size", total)
         if step < ROUNDS:
             met = left.filter(F.col("root") != F.col("p.root")).select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m"))
+            pairs = met.filter(alike(least_share)).select("a", "b").distinct()
         else:
-            left = durable(left.select("token", "key", "n", "root"), "left")
+            left = durable(left.select("token", "key", "n", "w", "root"), "left")
             other = left.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
-            near = (F.col("n") * least_share.denominator >= F.col("m") * least_share.numerator) & (F.col("m") * least_share.denominator >= F.col("n") * least_share.numerator)
-            met = left.join(other, "token").filter(near & (F.col("key") < F.col("b")) & (F.col("root") != F.col("s"))).select(F.col("key").alias("a"), "b", "n", "m")
-        alike = F.least("n", "m") * least_share.denominator >= F.greatest("n", "m") * least_share.numerator
-        pairs = met.filter(alike).select("a", "b").distinct()
+            met = left.join(other, "token").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("s")) & alike(least_share))
+            met = met.groupBy(F.col("key").alias("a"), "b").agg(F.sum("w").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
+            pairs = met.filter(enough(least_share)).select("a", "b")
         either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = durable(pairs.join(either, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
@@ -165,12 +166,40 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     return start.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` of one hash for each set of members, and the number ``w`` of such hashes.
+
+    Near copies share many hashes.  Sets of members are told apart by their number and 128 bits of their ids' hashes.
+    """
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"m{seed}") for seed in (1, 2)]
+    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *marks)
+    kept = durable(buckets.groupBy("size", "m1", "m2").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("w")).select("token", "size", "w"), "kept")
+    total = kept.agg(F.sum("size")).first()[0]
+    return durable(join_by_key(rows, kept, ["token"], "size", total).select("token", "key", "n", "w"), "buckets")
+
+
+def alike(share: Fraction):
+    """Whether the sizes ``n`` and ``m`` of two sets allow the similarity."""
+    return F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator
+
+
+def enough(share: Fraction):
+    """Whether two sets may be similar that have ``c`` of their leading hashes in common.
+
+    Of the set whose leading hashes end first, ceil(t n) - 1 hashes follow; the sets have
+    at most c and these in common, and similar ones at least t / (1 + t) of n + m.
+    """
+    p, q = share.numerator, share.denominator
+    follow = F.expr(f"({p} * greatest(n, m) + {q - 1}) div {q} - 1")
+    return (F.col("c") + follow) * (p + q) >= (F.col("n") + F.col("m")) * p
+
+
 def order(step: int):
     """The pivot of a hash is the member that comes first in this order."""
     return F.struct(F.xxhash64("key", F.lit(step)), "key") if step else F.struct(F.lit(0).cast("long"), "key")
 
 
 def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows(token, key, n)`` with the ``root`` of their group so far."""
-    found = rows.select("token", "key", "n").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    return found.select("token", "key", "n", F.coalesce("root", "key").alias("root"))
+    """``rows(token, key, n, w)`` with the ``root`` of their group so far."""
+    found = rows.join(groups.withColumnRenamed("node", "key"), "key", "left")
+    return found.select("token", "key", "n", "w", F.coalesce("root", "key").alias("root"))
