@@ -152,3 +152,15 @@ def texts_of(batch, name: str = "text") -> Iterator[bytes]:
 
     for x in batch.column(name).cast(pa.binary()).to_pylist():
         yield x or b""
+
+
+def trim() -> None:
+    """Give the freed memory of this worker back to the system; a reused worker would hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import HEAVY_SHARE, components, durable, join_by_key, texts_of
+from leafgraph.llm.common import HEAVY_SHARE, components, durable, join_by_key, texts_of, trim
 
 SHINGLE = 3
 SEED = 42
@@ -128,6 +128,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         for batch in batches:
             prints = pa.array([simhash(raw, shingle, seed) for raw in texts_of(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], names=["doc_id", "fp"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
 

@@ -30,7 +30,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import components, durable, join_by_key, texts_of
+from leafgraph.llm.common import components, durable, join_by_key, texts_of, trim
 from leafgraph.llm.simhash_dedup import BLOCK_WORDS, SEED, near_duplicates
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ ROUNDS = 2
 COMMON = 20_000
 #: A hash is common from this number of documents on.
 DENSE = 64
+#: Bytes of one Arrow batch; hashing a text takes several times its size.
+BATCH_BYTES = 2 << 20
 #: Partners of a pivot that are compared in one slot.
 SLOT = 256
 
@@ -87,6 +89,8 @@ def leading(docs: DataFrame, shingle: int, similarity: Fraction, common: list[in
             if tokens:
                 columns = [pa.array(np.concatenate(x)) for x in (tokens, owners, sizes)]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n"])
+            del tokens, owners, sizes
+            trim()
 
     return docs.mapInArrow(scan, "token long, key long, n long")
 
@@ -111,6 +115,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: Fracti
                 if both * similarity.denominator >= similarity.numerator * (len(held) + len(own) - both):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            trim()
 
     slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"), F.count(F.lit(1)).alias("size"))
     slots = durable(slots, "slots")
@@ -130,6 +135,9 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     fingerprints, or of a similarity of at least ``similarity``.
     """
     least_share = Fraction(str(similarity))
+    settings, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = settings.get(name)
+    settings.set(name, str(BATCH_BYTES))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     start = durable(near_duplicates(docs, shingle).select("doc_id", "component_id"), "start")
     edges = start.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
@@ -162,6 +170,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         pairs = durable(pairs.join(either, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         edges = durable(edges.unionByName(verified(pairs, docs, shingle, least_share)), "edges")
+    settings.set(name, usual)
     named = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     return start.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -485,10 +485,14 @@ def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None) -
         import numpy as np
         import pyarrow as pa
 
+        from leafgraph.llm.common import trim
+
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores = score_texts(loaded(held.value), texts) if held.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
+            del texts, scores
+            trim()
 
     schema = source.select(*kept).withColumn(name, F.lit(0.0)).schema
     return source.mapInArrow(scan, schema)
