@@ -19,12 +19,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import durable, texts_of
+from leafgraph.llm.common import durable, trim
 
 CONTEXT = 4096
 END_ID = 2
-#: Bytes of words whose ids a worker remembers before it starts afresh.
-MEMORY_BYTES = 8 << 20
+#: Letters of words whose ids a worker remembers before it starts afresh; with its ids a word takes some 25 times that in bytes.
+MEMORY_BYTES = 4 << 20
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -108,6 +108,8 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int
                     out.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            del out, cols
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

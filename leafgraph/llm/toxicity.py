@@ -467,7 +467,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
 
 
 def loaded(data: bytes) -> dict:
-    """The model from its bytes, once for each worker."""
+    """The model from its bytes, once for each task."""
     import pickle
 
     if not _loaded or _loaded[0] != data:
@@ -493,6 +493,8 @@ def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
             del texts, scores
             trim()
+        _loaded.clear()  # a reused worker has other work to do
+        trim()
 
     schema = source.select(*kept).withColumn(name, F.lit(0.0)).schema
     return source.mapInArrow(scan, schema)
