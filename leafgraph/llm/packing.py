@@ -43,11 +43,14 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
 
+    def forget(self) -> None:
+        self.known, self.held = {"": b""}, 0
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
 
         if self.held > MEMORY_BYTES:
-            self.known, self.held = {"": b""}, 0
+            self.forget()
         new: dict[str, bytes] = {}
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
@@ -110,6 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             del out, cols
             trim()
+        ids_of.forget()  # a reused worker has other work to do
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -453,11 +453,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
 
         import pyarrow as pa
 
+        from leafgraph.llm.common import trim
+
         rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("k", "doc_id", "text", "toxic"))))
         if len({r[3] for r in rows}) == 2:
             # a process of its own gives its memory back before the texts are scored
             path = os.pathsep.join([str(Path(__file__).resolve().parents[2]), os.environ.get("PYTHONPATH", "")])
             data = pickle.dumps(([r[2] for r in rows], [r[3] for r in rows]))
+            rows.clear()
+            trim()
             done = subprocess.run([sys.executable, "-m", "leafgraph.llm.toxicity"], input=data, stdout=subprocess.PIPE, env=os.environ | {"PYTHONPATH": path}, check=True)
             yield pa.RecordBatch.from_arrays([pa.array([done.stdout], pa.binary())], names=["model"])
 
