@@ -50,7 +50,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash or by a similarity of five-word shingles of 0.8 or more, the one with the least id stays."""
+    """Of documents linked by a similarity of five-word shingles of 0.8 or more, the one with the least id stays."""
     ready(spark)
     docs = keyed(docs)
     found = similar_documents(docs.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, SIMILARITY)

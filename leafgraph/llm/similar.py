@@ -1,7 +1,9 @@
 """Near-duplicates by the share of word shingles that two texts have in common.
 
-Documents whose SimHash fingerprints the Golay keys of ``simhash_dedup`` link form the
-first groups.  Fingerprints of texts that share just 0.8 of their five-word shingles
+Documents whose SimHash fingerprints the Golay keys of ``simhash_dedup`` link, and whose
+texts prove similar to that of their group's least id, form the first groups.  Repeated
+lines outvote the rest of a text in its fingerprint, so a link alone is no proof; pairs
+it doesn't prove are left to what follows.  Fingerprints of texts that share just 0.8 of their five-word shingles
 differ in six to fourteen of 64 bits, beyond what those keys can find; so every text
 whose similarity (shared shingles over all shingles of both) reaches the threshold is
 looked for exactly:
@@ -22,8 +24,8 @@ looked for exactly:
   are dealt out.  The text of a pivot goes to as many slots as its partners need, and each
   slot is read as a stream.
 
-Defined cases: null text counts as empty; texts without words are linked through their
-fingerprint; fewer words than a shingle has make one shingle; ids must be unique and not
+Defined cases: null text counts as empty; texts without words are linked with each
+other; fewer words than a shingle has make one shingle; ids must be unique and not
 null; an empty table gives no rows.
 """
 
@@ -219,8 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: Fracti
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with unique ids: doc_id, component_id.
 
-    ``component_id`` is the least id reachable through links of two bits or fewer between
-    fingerprints, or of a similarity of at least ``similarity``.
+    ``component_id`` is the least id reachable through links of a similarity of at least ``similarity``.
     """
     least_share = Fraction(str(similarity))
     settings, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -228,13 +229,15 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     settings.set(name, str(BATCH_BYTES))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     start = durable(near_duplicates(docs, shingle).select("doc_id", "component_id"), "start")
-    edges = start.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    tested = durable(start.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "linked")
+    bare = docs.filter(~F.coalesce("text", F.lit("")).rlike(r"\S")).select(F.col("doc_id").alias("b"))
+    bare = bare.crossJoin(F.broadcast(bare.agg(F.min("b").alias("a")))).select("a", "b").filter("a <> b")
+    edges = durable(verified(tested, docs, shingle, least_share).unionByName(bare), "edges")
 
     common = frequent(docs, shingle)
     rows = distinct_buckets(durable(repeated(leading(docs, shingle, least_share, common)), "leading"), least_share)
     total = rows.count()
 
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
     for step in range(ROUNDS + 1 if total else 0):
         groups = durable(components(edges), "groups")
         known = grouped(rows, groups)

@@ -71,3 +71,17 @@ def test_empty_and_lone_tables(spark):
     assert similar_documents(spark.createDataFrame([], shape)).count() == 0
     rows = similar_documents(spark.createDataFrame([(7, None), (9, "a b c")], shape)).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(7, 7), (9, 9)}
+
+
+def test_a_repeated_line_alone_does_not_link(spark):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    texts = {}
+    for k in range(10):
+        line = fresh(9)
+        texts |= {2 * k + i: fresh(60) + (" " + line) * 100 for i in range(2)}
+    same = fresh(60)
+    texts |= {100 + i: same + " " + fresh(1) for i in range(3)} | {200: "", 201: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_documents(docs).collect()}
+    assert got == {i: i for i in range(20)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
