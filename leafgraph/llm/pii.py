@@ -12,7 +12,7 @@ keyed hash of one half of the list to the other half, modulo the bases, in ROUND
 turns; this is one-to-one on the values of that format, and reversible with the key.
 
 Defined cases: null text stays null, empty text empty; what fails its check (Luhn,
-mod 97, a calendar, ranges) is left alone; other columns are kept as they are, but
+mod 97, a calendar, ranges) is left alone; telephone numbers are those of +1; other columns are kept as they are, but
 for one named ``n_pii``, which is replaced; an empty table gives no rows.
 """
 
@@ -31,7 +31,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}(?<cut>[-/.])\d{2}\k<cut>\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[.-])[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[ .-]?[2-9]\d{2}[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}|[2-9]\d{2}[.-][2-9]\d{2})[ .-]\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}(?<space>[ -])\d{6}\k<space>\d{5})(?!\d)",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
@@ -141,8 +141,10 @@ def pseudonym(key: str = KEY) -> str:
     ssn_valid = f"{area} NOT IN (0, 666) AND {area} < 900 AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"
 
     ten = f"slice({digits('m')}, -10, 10)"
-    phone_out = permuted(f"transform({ten}, (x, k) -> if(k IN (0, 3), x - 2, x))", f"transform({ten}, (x, k) -> if(k IN (0, 3), 8L, 10L))", "phone", key)
-    phone = poured("m", f"concat(if(size({digits('m')}) > 10, '1', ''), {spelled(f'transform({phone_out}, (x, k) -> if(k IN (0, 3), x + 2, x))')})")
+    # area and exchange begin with 2 to 9, with +1 or parentheses also with 0 or 1: both kinds are kept
+    phone_out = permuted(f"transform({ten}, (x, k) -> if(k IN (0, 3) AND x > 1, x - 2, x))", f"transform({ten}, (x, k) -> if(k IN (0, 3), if(x > 1, 8L, 2L), 10L))", "phone", key)
+    phone_new = f"transform({phone_out}, (x, k) -> if(k IN (0, 3) AND element_at({ten}, k + 1) > 1, x + 2, x))"
+    phone = poured("m", f"concat(if(size({digits('m')}) > 10, '1', ''), {spelled(phone_new)})")
 
     ip_out = permuted("transform(split(m, '[.]'), x -> cast(x AS bigint))", "array(256L, 256L, 256L, 256L)", "ip", key)
     ip = f"array_join(transform({ip_out}, y -> cast(y AS string)), '.')"

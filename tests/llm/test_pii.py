@@ -87,3 +87,18 @@ def test_edges(spark):
     assert got[2][1] == 1 and got[2][0].startswith(long) and got[4][1] == 1 and got[4][0].endswith("\n")
     assert got[3][1] in (0, 2)
     assert pseudonymise(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_any_area_code_of_an_explicit_phone_number(spark):
+    given = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 555-7713", "+1 017 155 7713", "+10171557713", "+1 (743) 155-3824"]
+    got = [t for t, n in run(spark, given) if n == 1]
+    assert len(got) == len(given)
+    shape = lambda s: re.sub(r"\d", "9", s)
+    kinds = lambda s: [d > "1" for d in re.sub(r"\D", "", s)[-10::3][:2]]
+    assert all(a != b and shape(a) == shape(b) and kinds(a) == kinds(b) and ("+1" in a) == ("+1" in b) for a, b in zip(given, got))
+    # a number has one pseudonym in all forms, and numbers stay different
+    last = [re.sub(r"\D", "", t)[-10:] for t in got]
+    assert last[0] == last[2] and last[3] == last[4]
+    many = [f"+1 ({a:03}) 555-0{b:03}" for a in range(0, 1000, 50) for b in range(0, 1000, 50)]
+    assert len({t for t, n in run(spark, many)} | set(many)) >= 2 * len(many) - 1
+    assert [n for _, n in run(spark, ["017-555-7713", "743-155-3824", "0175557713"])] == [0, 0, 0]
