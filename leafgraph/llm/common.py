@@ -61,6 +61,14 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete the files of a durable table that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
