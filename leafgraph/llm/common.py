@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,13 @@ HEAVY_SHARE = 2000
 #: Bytes of one Arrow batch sent to a Python worker (text columns are wide).
 ARROW_BATCH_BYTES = 8 << 20
 
+#: Bytes of a text that are split into words at once.
+TEXT_BLOCK = 4 << 20
+BLANK = re.compile(rb"[ \t-\r]")
+
+#: Folders of durable tables that are deleted when the driver ends.
+_kept: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a dataset folder, by any path that Spark can read."""
@@ -47,7 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/leafgraph-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application, which goes when its driver ends."""
+    folder = f"{shared_dir(spark)}/leafgraph-{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _kept.add(folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
@@ -69,11 +85,17 @@ def forget(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has a column of that name in any case, one that it has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, which may have dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
@@ -162,6 +184,21 @@ def texts_of(batch, name: str = "text") -> Iterator[bytes]:
         yield x or b""
 
 
+def word_blocks(raw: bytes, overlap: int = 0, block: int = TEXT_BLOCK) -> Iterator[list[bytes]]:
+    """The words of a text, block by block; each block but the first begins with the last ``overlap`` words before it."""
+    if len(raw) <= block:
+        yield raw.split()
+        return
+    at, held = 0, []
+    while at < len(raw):
+        gap = BLANK.search(raw, min(len(raw), at + block))
+        end = gap.start() if gap else len(raw)
+        words = held + raw[at:end].split()
+        yield words
+        held = words[-overlap:] if overlap else []
+        at = end
+
+
 def trim() -> None:
     """Give the freed memory of this worker back to the system; a reused worker would hold it."""
     import ctypes

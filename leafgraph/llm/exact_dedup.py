@@ -9,18 +9,21 @@ group that stays; only members of groups of two or more are read again.
 
 Defined cases: null text counts as empty; of equal texts the row with the
 smallest doc_id stays (null ids last; of rows that share the id too, one);
-an empty table gives no rows; other columns are not read.
+texts are found again by their id and the hash of their bytes, so many rows under
+one id, or none, never meet each other; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import durable, join_by_key, texts_of
+from leafgraph.llm.common import ARROW_BATCH_BYTES, durable, join_by_key, texts_of
 
 #: Primes below 2**31, and one base for each.
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -30,13 +33,16 @@ STEP = 8192
 SEGMENT_BYTES = 4 << 20
 CHUNK_BYTES = 256 << 10
 #: Members of a group that are compared with one copy of the row that stays.
-COMPARED_TOGETHER = 256
+COMPARED_TOGETHER = 32
+RUN = re.compile(rb"[ \t-\r]+")
 
 _powers: dict = {}
 
 
 def normalise(raw: bytes) -> bytes:
     """Every run of space and \\t \\n \\v \\f \\r becomes one space."""
+    if len(raw) > SEGMENT_BYTES:  # a list of the words of a huge text takes many times its size
+        return RUN.sub(b" ", raw)
     words = raw.split()
     if not words:
         return b" " if raw else b""
@@ -88,24 +94,31 @@ def combine(left: tuple, right: tuple, primes: tuple = PRIMES) -> tuple:
     )
 
 
+HEAD = ("uid", "doc_id", "th", "n_bytes", "text_sha256")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")
+
+
 def fingerprints(docs: DataFrame, segment: int = SEGMENT_BYTES, primes: tuple = PRIMES, bases: tuple = BASES) -> DataFrame:
-    """Rows (uid, doc_id, n_bytes, text_sha256, f array) of ``docs(doc_id, text)``, durable."""
+    """Rows (uid, doc_id, th, n_bytes, text_sha256, f array) of ``docs(doc_id, text)``, durable; ``th`` is a hash of the text as it is."""
 
     def first(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             out: list[tuple] = []
-            for uid, doc_id, raw in zip(batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch)):
+            for uid, doc_id, th, raw in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "th")), texts_of(batch)):
                 data = normalise(raw)
-                head = (uid, doc_id, len(data), hashlib.sha256(data).hexdigest())
+                head = (uid, doc_id, th, len(data), hashlib.sha256(data).hexdigest())
                 if len(data) <= segment:
                     out.append((*head, list(fingerprint(data, primes, bases)), None, None))
                 else:
                     out += [(*head, None, k, data[k * segment : (k + 1) * segment]) for k in range(-(-len(data) // segment))]
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-            names = ["uid", "doc_id", "n_bytes", "text_sha256", "f", "seg", "payload"]
+            cols = list(zip(*out)) if out else [[]] * 8
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+            names = [*HEAD, "f", "seg", "payload"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def hashed(batches: Iterator) -> Iterator:
@@ -115,15 +128,13 @@ def fingerprints(docs: DataFrame, segment: int = SEGMENT_BYTES, primes: tuple =
             data = batch.column("payload").to_pylist()
             f = pa.array([list(fingerprint(x, primes, bases)) for x in data], pa.list_(pa.int64()))
             t = pa.array([list(shift(len(x), primes, bases)) for x in data], pa.list_(pa.int64()))
-            kept = [batch.column(c) for c in ("uid", "doc_id", "n_bytes", "text_sha256", "seg")]
-            yield pa.RecordBatch.from_arrays([*kept, f, t], names=["uid", "doc_id", "n_bytes", "text_sha256", "seg", "f", "t"])
+            kept = [batch.column(c) for c in (*HEAD, "seg")]
+            yield pa.RecordBatch.from_arrays([*kept, f, t], names=[*HEAD, "seg", "f", "t"])
 
-    source = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string")
-    )
-    head = "uid long, doc_id long, n_bytes long, text_sha256 string"
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text_hash(), F.col("text").cast("string"))
+    head = "uid long, doc_id long, th long, n_bytes long, text_sha256 string"
     read = durable(source.mapInArrow(first, f"{head}, f array<long>, seg int, payload binary"), "fingerprints")
-    whole = read.filter("payload is null").select("uid", "doc_id", "n_bytes", "text_sha256", "f")
+    whole = read.filter("payload is null").select(*HEAD, "f")
     parts = read.filter("payload is not null")
     if parts.isEmpty():
         return whole
@@ -134,7 +145,7 @@ def fingerprints(docs: DataFrame, segment: int = SEGMENT_BYTES, primes: tuple =
         F.array_repeat(F.lit(0).cast("long"), len(primes)),
         lambda h, x: F.transform(F.arrays_zip(h.alias("h"), x["f"].alias("g"), x["t"].alias("t"), mod.alias("p")), lambda y: (y["h"] * y["t"] + y["g"]) % y["p"]),
     )
-    return durable(whole.unionByName(parts.groupBy("uid", "doc_id", "n_bytes", "text_sha256").agg(joined.alias("f"))), "fingerprints")
+    return durable(whole.unionByName(parts.groupBy(*HEAD).agg(joined.alias("f"))), "fingerprints")
 
 
 def _rep() -> Column:
@@ -145,10 +156,11 @@ def _rep() -> Column:
 def mismatches(docs: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Members whose text differs from that of the row that stays: (keep_uid, text_sha256).
 
-    ``members(doc_id, text_sha256, keep_uid, group_size, stays)``.  The texts come
+    ``members(doc_id, th, text_sha256, keep_uid, group_size, stays)``.  The texts come
     as chunks, sorted so that each chunk of the row that stays is followed by the
     members' chunks of the same number; a task holds one chunk to compare with.
-    Large groups are split over copies of the row that stays.
+    Large groups are split over copies of the row that stays, and each chunk is dealt
+    out on its own.
     """
 
     def cut(batches: Iterator) -> Iterator:
@@ -158,20 +170,24 @@ def mismatches(docs: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) ->
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
         for batch in batches:
             sha, gid = batch.column("text_sha256").to_pylist(), batch.column("keep_uid").to_pylist()
-            size, stays = batch.column("group_size").to_pylist(), batch.column("stays").to_pylist()
+            size, salt = batch.column("group_size").to_pylist(), batch.column("salt").to_pylist()
             out: list[tuple] = []
+            held = 0
             for k, raw in enumerate(texts_of(batch)):
                 data = normalise(raw)
                 if hashlib.sha256(data).hexdigest() != sha[k]:
                     continue  # another row with the same id
                 parts = -(-size[k] // COMPARED_TOGETHER)
-                mine = range(parts) if stays[k] else [int(batch.column("salt")[k].as_py()) % parts]
+                stays = salt[k] < 0
+                mine = range(parts) if stays else [salt[k] % parts]
                 for c in range(max(1, -(-len(data) // chunk))):
                     piece = data[c * chunk : (c + 1) * chunk]
-                    out += [(gid[k], p, c, 1 - stays[k], sha[k], piece) for p in mine]
-                    if len(out) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
-                        out = []
+                    for part in mine:
+                        out.append((gid[k], part, c, 1 - stays, sha[k], piece))
+                        held += len(piece)
+                        if len(out) >= 1000 or held >= ARROW_BATCH_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+                            out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
@@ -190,12 +206,19 @@ def mismatches(docs: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out])], names=["keep_uid", "text_sha256"])
 
-    ids = members.groupBy("doc_id", "text_sha256", "keep_uid", "group_size").agg(F.max("stays").cast("int").alias("stays"))
-    ids = ids.withColumn("salt", F.abs(F.xxhash64("doc_id", "text_sha256") % 1_000_003)).withColumnRenamed("doc_id", "id")
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    doc_id = F.col("doc_id").cast("long")
+    key = [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), "th"]
+    ids = members.groupBy(*key, "text_sha256", "keep_uid", "group_size").agg(F.max("stays").cast("int").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = durable(ids, "members")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003)).alias("salt")
+    source = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string"), text_hash()).select(*key, "text", salt)
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    found, facts = ["id", "none", "th"], ["text", "text_sha256", "keep_uid", "group_size"]
+    # the text that stays comes once, however many rows have it
+    stay = join_by_key(source, ids.filter("stays = 1"), found, "n", total).select(*facts).distinct().withColumn("salt", F.lit(-1).cast("long"))
+    rows = stay.unionByName(join_by_key(source, ids, found, "n", total).select(*facts, "salt"))
     chunks = rows.mapInArrow(cut, "gid long, part long, chunk long, role int, sha string, data binary")
-    ordered = chunks.repartition("gid", "part").sortWithinPartitions("gid", "part", "chunk", "role")
+    ordered = chunks.repartition("gid", "part", "chunk").sortWithinPartitions("gid", "part", "chunk", "role")
     return ordered.mapInArrow(compare, "keep_uid long, text_sha256 string").distinct()
 
 

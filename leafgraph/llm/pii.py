@@ -10,24 +10,39 @@ A value is a list of symbols, each with its own base (ten for a digit, 898 for t
 area of a social security number, 256 for a part of an address).  The network adds a
 keyed hash of one half of the list to the other half, modulo the bases, in ROUNDS
 turns; this is one-to-one on the values of that format, and reversible with the key.
+A half is hashed once a round and its digest is spread over the symbols, so the work
+grows with the length of a value; no pattern recurs or goes back over a long run.
+
+The key is the setting ``spark.leafgraph.pii.key``.  A session without one draws a key of its
+own at random: its pseudonyms are linked within the session and to no other.
 
 Defined cases: null text stays null, empty text empty; what fails its check (Luhn,
-mod 97, a calendar, ranges) is left alone; telephone numbers are those of +1; other columns are kept as they are, but
-for one named ``n_pii``, which is replaced; an empty table gives no rows.
+mod 97, a calendar, ranges) is left alone; a domain counts up to its last label, one of
+which, not the first, must be of 2 to 24 letters; telephone numbers are those of +1;
+other columns are kept as they are whatever their names, but for one named like the
+count (``n_pii``), which is replaced; repeated rows are each replaced alike; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgraph.llm.common import free_name, named
+
 ROUNDS = 10
-KEY = "leafgraph-example-key"
+#: The Spark setting with the secret of the permutation.
+KEY = "spark.leafgraph.pii.key"
+#: Hexadecimal digits of a digest that make one number, and such numbers in a digest.
+DIGITS, NUMBERS = 15, 4
 
 #: What can be a value; ``valid`` decides.  No pattern starts or ends inside a longer run.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}(?<cut>[-/.])\d{2}\k<cut>\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -51,15 +66,19 @@ def permuted(symbols: str, bases: str, kind: str, key: str) -> str:
     """SQL of the permuted symbols."""
 
     def mixed(half: str, base: str, other: str) -> str:
-        secret = f"concat_ws('|', {quoted(key)}, '{kind}', i, j, array_join(transform({other}, y -> cast(y AS string)), ','))"
-        turn = f"cast(conv(substr(sha2({secret}, 256), 1, 15), 16, 10) AS bigint)"
-        return f"transform({half}, (v, j) -> (v + {turn} % {base}[j]) % {base}[j])"
+        """The half plus numbers of a keyed hash of the other half, of which one digest gives NUMBERS."""
+        digest = f"sha2(concat_ws('|', {quoted(key)}, '{kind}', i, array_join(transform({other}, y -> cast(y AS string)), ',')), 256)"
+        spread = f"transform(sequence(0, size({half}) div {NUMBERS}), k -> sha2(concat(d, '|', k), 256))"
+        turn = f"cast(conv(substr(ds[j div {NUMBERS}], j % {NUMBERS} * {DIGITS} + 1, {DIGITS}), 16, 10) AS bigint)"
+        sums = f"transform({half}, (v, j) -> (v + {turn} % {base}[j]) % {base}[j])"
+        return f"transform(transform(array({digest}), d -> {spread}), ds -> {sums})[0]"
 
-    start = "named_struct('l', slice(z.s, 1, size(z.s) div 2), 'r', slice(z.s, size(z.s) div 2 + 1, size(z.s)))"
-    low, high = "slice(z.b, 1, size(z.b) div 2)", "slice(z.b, size(z.b) div 2 + 1, size(z.b))"
-    step = f"named_struct('l', if(i % 2 = 0, {mixed('s.l', low, 's.r')}, s.l), 'r', if(i % 2 = 1, {mixed('s.r', high, 's.l')}, s.r))"
-    run = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> {step}, s -> concat(s.l, s.r))"
-    return f"transform(array(named_struct('s', {symbols}, 'b', {bases})), z -> {run})[0]"
+    low, high = "slice(y.{0}, 1, size(y.{0}) div 2)", "slice(y.{0}, size(y.{0}) div 2 + 1, size(y.{0}))"
+    halves = f"named_struct('l', {low.format('s')}, 'r', {high.format('s')}, 'lb', {low.format('b')}, 'rb', {high.format('b')})"
+    step = f"named_struct('l', if(i % 2 = 0, {mixed('s.l', 'z.lb', 's.r')}, s.l), 'r', if(i % 2 = 1, {mixed('s.r', 'z.rb', 's.l')}, s.r))"
+    run = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', z.l, 'r', z.r), (s, i) -> {step}, s -> concat(s.l, s.r))"
+    given = f"transform(array(named_struct('s', {symbols}, 'b', {bases})), y -> {halves})"
+    return f"transform({given}, z -> {run})[0]"
 
 
 def digits(s: str) -> str:
@@ -112,7 +131,7 @@ def by_character(s: str, kind: str, key: str, letters: int) -> str:
     return f"array_join(zip_with({chars}, {out}, (c, y) -> {back}), '')"
 
 
-def pseudonym(key: str = KEY) -> str:
+def pseudonym(key: str) -> str:
     """SQL of the pseudonym of a match ``m``; what isn't valid stays as it is."""
     is_a = {k: f"m rlike {quoted('^(?:' + p + ')$')}" for k, p in PATTERNS.items()}
     email = f"concat({by_character("substring_index(m, '@', 1)", 'email', key, 26)}, '@', substring_index(m, '@', -1))"
@@ -171,22 +190,34 @@ def pseudonym(key: str = KEY) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with its text pseudonymised, and ``n_pii``, the number of values replaced.
+def key_of(spark: SparkSession) -> str:
+    """The key in the setting KEY; where there is none, a random one that the session keeps."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY, found)
+    return found
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", count: str = "n_pii") -> DataFrame:
+    """``docs`` with its text pseudonymised, and ``count``, the number of values replaced.
 
-    ``key`` is the secret of the permutation; production jobs give their own.
+    ``key`` is the secret of the permutation, else that of the session (``key_of``).
     """
-    here = F.col(text).cast("string")
+    key = key or key_of(docs.sparkSession)
+    columns = [c for c in docs.columns if c.lower() != count.lower()]
+    parts, news = free_name(docs, "_parts"), free_name(docs, "_new")
+    (source,) = named([text])
+    here = source.cast("string")
     found = F.regexp_extract_all(here, F.lit(ANY), F.lit(0))
-    parts = F.struct(F.split(here, ANY, -1).alias("rest"), found.alias("old"))
-    new = F.expr(f"transform(_parts.old, m -> {pseudonym(key)})")
-    joined = F.expr("array_join(flatten(zip_with(_parts.rest, _new, (a, b) -> array(a, coalesce(b, '')))), '')")
-    changed = F.expr("cast(size(filter(zip_with(_parts.old, _new, (a, b) -> a <> b), x -> x)) AS bigint)")
+    cut = F.struct(F.split(here, ANY, -1).alias("rest"), found.alias("old"))
+    new = F.expr(f"transform({parts}.old, m -> {pseudonym(key)})")
+    joined = F.expr(f"array_join(flatten(zip_with({parts}.rest, {news}, (a, b) -> array(a, coalesce(b, '')))), '')")
+    changed = F.expr(f"cast(size(filter(zip_with({parts}.old, {news}, (a, b) -> a <> b), x -> x)) AS bigint)")
     maybe = here.rlike("[0-9@]")
-    columns = [c for c in docs.columns if c not in ("n_pii", "_parts", "_new")]
-    out = docs.select(*columns).withColumn("_parts", F.when(maybe, parts))
-    out = out.withColumn("_new", F.when(F.size("_parts.old") > 0, new))
+    out = docs.select(*named(columns)).withColumn(parts, F.when(maybe, cut))
+    out = out.withColumn(news, F.when(F.size(f"{parts}.old") > 0, new))
     return out.select(
-        *(F.when(F.col("_new").isNotNull(), joined).otherwise(here).alias(c) if c == text else F.col(c) for c in columns),
-        F.when(F.col("_new").isNotNull(), changed).otherwise(F.lit(0).cast("long")).alias("n_pii"),
+        *(F.when(F.col(news).isNotNull(), joined).otherwise(here).alias(c) if c == text else x for c, x in zip(columns, named(columns))),
+        F.when(F.col(news).isNotNull(), changed).otherwise(F.lit(0).cast("long")).alias(count),
     )

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import HEAVY_SHARE, components, durable, join_by_key, texts_of, trim
+from leafgraph.llm.common import HEAVY_SHARE, components, durable, join_by_key, texts_of, trim, word_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -42,22 +42,33 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _golay: list = []
 
 
+def shingle_blocks(raw: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """Lower-case words in blocks that share ``shingle`` - 1 words, so that each shingle is in one; of a shorter text all words."""
+    words: list[bytes] = []
+    found = False
+    for words in word_blocks(raw.lower(), shingle - 1):
+        for at in range(0, len(words) - shingle + 1, BLOCK_WORDS):
+            found = True
+            yield words[at : at + BLOCK_WORDS + shingle - 1]
+    if words and not found:
+        yield words
+
+
 def simhash(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Fingerprint of a text as a signed 64-bit number."""
     import numpy as np
     from xxhash import xxh64_intdigest as xxh64
 
-    words = raw.lower().split()
-    if not words:
-        return 0
-    votes, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    for at in range(0, n, BLOCK_WORDS):
-        part = words[at : at + BLOCK_WORDS + shingle - 1]
-        count = min(BLOCK_WORDS, n - at)
+    votes, n = np.zeros(64, np.int64), 0
+    for part in shingle_blocks(raw, shingle):
+        count = max(1, len(part) - shingle + 1)
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(part) >= shingle else [b" ".join(part)]
         hashes = np.fromiter((xxh64(g, seed) for g in grams), "<u8", count)
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(count, 64)
         votes += bits.sum(axis=0, dtype=np.uint32)
+        n += count
+    if not n:
+        return 0
     out = np.packbits(2 * votes > n, bitorder="little").tobytes()
     return int.from_bytes(out, "little", signed=True)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.llm.common import components, durable, join_by_key, texts_of, trim
-from leafgraph.llm.simhash_dedup import BLOCK_WORDS, SEED, near_duplicates
+from leafgraph.llm.simhash_dedup import SEED, near_duplicates, shingle_blocks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -58,6 +58,8 @@ MAP_BITS = 1 << 26
 BATCH_BYTES = 2 << 20
 #: Partners of a pivot that are compared in one slot.
 SLOT = 256
+#: Members of a hash that one task holds in the last round.
+SPLIT = 500
 
 
 def hashes(raw: bytes, shingle: int):
@@ -65,16 +67,12 @@ def hashes(raw: bytes, shingle: int):
     import numpy as np
     from xxhash import xxh64_intdigest as xxh64
 
-    words = raw.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    n, parts = max(1, len(words) - shingle + 1), []
-    for at in range(0, n, BLOCK_WORDS):
-        part = words[at : at + BLOCK_WORDS + shingle - 1]
-        count = min(BLOCK_WORDS, n - at)
+    parts = []
+    for part in shingle_blocks(raw, shingle):
+        count = max(1, len(part) - shingle + 1)
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(part) >= shingle else [b" ".join(part)]
         parts.append(np.unique(np.fromiter((xxh64(g, SEED) for g in grams), "<u8", count).view(np.int64)))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.empty(0, np.int64), *parts]))
 
 
 def frequent(docs: DataFrame, shingle: int) -> list[int]:
@@ -223,15 +221,23 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
 
     ``component_id`` is the least id reachable through links of a similarity of at least ``similarity``.
     """
-    least_share = Fraction(str(similarity))
     settings, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     usual = settings.get(name)
     settings.set(name, str(BATCH_BYTES))
+    try:
+        return linked_documents(docs, shingle, Fraction(str(similarity)))
+    finally:
+        settings.set(name, usual)
+
+
+def linked_documents(docs: DataFrame, shingle: int, least_share: Fraction) -> DataFrame:
+    """``similar_documents`` under the settings that it makes."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     start = durable(near_duplicates(docs, shingle).select("doc_id", "component_id"), "start")
     tested = durable(start.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "linked")
     bare = docs.filter(~F.coalesce("text", F.lit("")).rlike(r"\S")).select(F.col("doc_id").alias("b"))
-    bare = bare.crossJoin(F.broadcast(bare.agg(F.min("b").alias("a")))).select("a", "b").filter("a <> b")
+    least = bare.agg(F.min("b")).first()[0]
+    bare = bare.select(F.lit(least).cast("long").alias("a"), "b").filter("a <> b")
     edges = durable(verified(tested, docs, shingle, least_share).unionByName(bare), "edges")
 
     common = frequent(docs, shingle)
@@ -252,17 +258,19 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         else:
             mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
             mixed = durable(mixed.filter("low <> high").select("token", "size"), "mixed")
-            left = durable(join_by_key(known, mixed, ["token"], "size", total).select("token", "key", "n", "w", "s", "root"), "left")
-            other = left.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("s").alias("r"), F.col("root").alias("q"))
+            left = durable(join_by_key(known, mixed, ["token"], "size", total).select("token", "size", "key", "n", "w", "s", "root"), "left")
+            # a hash of many members is split: each task holds a share of them and meets all others
+            parts = F.ceil(F.col("size") / SPLIT)
+            here = left.withColumn("part", F.pmod(F.xxhash64("key"), parts)).drop("size")
+            other = left.select("token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("s").alias("r"), F.col("root").alias("q"))
             possible = alike(least_share) & enough(F.least("s", "r"), least_share)
-            met = left.join(other, "token").filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("q")) & possible)
+            met = here.join(other, ["token", "part"]).filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("q")) & possible)
             met = met.groupBy(F.col("key").alias("a"), "b").agg(F.sum("w").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
             pairs = met.filter(enough(F.col("c"), least_share)).select("a", "b")
         either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = durable(pairs.join(either, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         edges = durable(edges.unionByName(verified(pairs, docs, shingle, least_share)), "edges")
-    settings.set(name, usual)
     named = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     return start.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

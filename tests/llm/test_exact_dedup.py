@@ -61,5 +61,17 @@ def test_segments_and_collisions(spark):
     assert sorted(map(tuple, weak.collect()), key=repr) == plain(more)
 
 
+def test_many_rows_under_one_id(spark):
+    rows = [(None if i % 2 else 5, ("same text " if i % 3 else f"text {i % 7}  ") * 40, "", "", 0) for i in range(20_000)]
+    out = deduplicate(spark.createDataFrame(rows, DOCS).repartition(4))
+    assert sorted(map(tuple, out.collect()), key=repr) == plain(rows)
+
+
+def test_huge_text_is_normalised_in_place(monkeypatch):
+    monkeypatch.setattr("leafgraph.llm.exact_dedup.SEGMENT_BYTES", 10)
+    for s in ("a  b\t\n c" * 9, " \x0b\x0c" * 9, "  lead and trail \r\n", "á\x85b\xa0c  d" * 3):
+        assert normalise(s.encode()) == re.sub(r"[ \t-\r]+", " ", s).encode()
+
+
 def test_nothing(spark):
     assert deduplicate(spark.createDataFrame([], DOCS)).count() == 0

@@ -102,3 +102,43 @@ def test_any_area_code_of_an_explicit_phone_number(spark):
     many = [f"+1 ({a:03}) 555-0{b:03}" for a in range(0, 1000, 50) for b in range(0, 1000, 50)]
     assert len({t for t, n in run(spark, many)} | set(many)) >= 2 * len(many) - 1
     assert [n for _, n in run(spark, ["017-555-7713", "743-155-3824", "0175557713"])] == [0, 0, 0]
+
+
+def test_long_values(spark):
+    """Long addresses and runs neither overflow the stack nor take quadratic time."""
+    n = 200_000
+    texts = [
+        "a@b" + ".b" * n, "a@b" + ".b" * n + ".com", "x" * n + "@example.com", "7" * n + "@example.com", "1" * n, "." * n, "a." * n + "@", "@" * n, "a@" * n,
+        "0f" * n, "1.2." * n, "(" * n, "12-" * n, "AB12 " * n, "x" + " ABCD" * n, "a" * n + "@b.co " + "8.8.8.8",
+    ]
+    got = run(spark, texts)
+    assert [n for _, n in got] == [0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2]
+    assert all(len(t) == len(new) for t, (new, _) in zip(texts[:-1], got))
+    assert got[0][0] == texts[0] and got[1][0].split("@")[1] == texts[1].split("@")[1] and got[1][0][0] != "" and got[3][0][:n].isdigit()
+
+
+def test_domains(spark):
+    given = {"u.x@a.com.2024": 1, "u.x@192.168.1.1": 1, "mail u.x@a.com...": 1, "u.x@a.b.org-x": 0, "8.8.8.8@home": 1, "u.x@a..com": 0, "u.x@.com": 0, "u.x@a.co.uk.": 1}
+    got = run(spark, list(given))
+    assert [n for _, n in got] == list(given.values())
+    assert got[0][0].endswith("@a.com.2024") and got[1][0].startswith("u.x@") and got[1][0] != "u.x@192.168.1.1"
+
+
+def test_key(spark):
+    from leafgraph.llm.pii import KEY, key_of
+
+    spark.conf.unset(KEY)
+    first = key_of(spark)
+    assert len(first) == 64 and key_of(spark) == first == spark.conf.get(KEY)
+    assert run(spark, ["8.8.8.8"]) == run(spark, ["8.8.8.8"], key=first)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "8.8.4.4", "p", "n", "x", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _parts string, _NEW string, `a.b` string, N_PII int")
+    out = pseudonymise(docs)
+    assert out.columns == ["doc_id", "text", "_parts", "_NEW", "a.b", "n_pii"]
+    got = out.first()
+    assert got["text"] != "8.8.4.4" and tuple(got)[2:] == ("p", "n", "x", 1)
+    kept = pseudonymise(docs, count="found").first()
+    assert kept["N_PII"] == 3 and kept["found"] == 1
