@@ -5,32 +5,39 @@ model that is trained with follow-the-regularised-leader (proximal, elastic net)
 numpy; a temperature fitted on held-back documents calibrates its probabilities.
 
 The document frequencies cover all training documents.  The model is fitted on a
-sample of about SAMPLE documents for each language, chosen by a hash of their text.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0; with no
-training rows all texts are; rows with a null lang or id are not learned from;
-repeated rows count as often as they occur; an empty table gives no rows.
+sample of at most SAMPLE different texts for each language, those with the least hashes.
+One task fits it: the sample streams through it, EPOCHS times in different orders and
+once more for the temperature, so what it holds is the model, FEATURES numbers a
+language, and the driver gets the model alone.  Every language found is learned.
+
+Defined cases: a text that is null or has no letter (Unicode class L) is ``und`` with score 0;
+with no training rows all texts are; rows with a null lang or id are not learned from;
+repeated texts count as often as they occur in the frequencies and once in the fit; an
+empty table gives no rows; only id, text and lang are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import regex
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgraph.llm.common import durable
+
 BITS = 13
 FEATURES = 1 << BITS
 SAMPLE = 800
-#: Languages that can be learned: the most frequent ones.
-MAX_LANGS = 1000
+#: Values of a text's hash that choose the sample.
+HASHES = 1 << 40
 #: Characters whose n-grams are counted at once.
 BLOCK = 1 << 20
 EPOCHS = 4
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.01
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _letters: list = []
 
@@ -70,42 +77,52 @@ def weigh(counts, idf):
     return x / max(1e-12, float(np.sqrt(x @ x)))
 
 
-def train(rows: list[tuple[int, list, list]], classes: int):
-    """Weights (FEATURES, classes) and a temperature from rows (class, indices, values)."""
+class Fitter:
+    """FTRL-proximal with elastic net: takes examples one by one, then gives weights and a temperature."""
+
+    def __init__(self, classes: int):
+        import numpy as np
+
+        self.z, self.n = np.zeros((FEATURES, classes)), np.zeros((FEATURES, classes))
+        self.judged: list[tuple] = []
+
+    def weights(self, i):
+        import numpy as np
+
+        z = self.z[i]
+        return np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2), 0.0)
+
+    def learn(self, c: int, i, v) -> None:
+        """One step on an example of class ``c`` with values ``v`` of features ``i``."""
+        import numpy as np
+
+        w = self.weights(i)
+        p = softmax(v @ w)
+        p[c] -= 1
+        g = v[:, None] * p
+        more = self.n[i] + g * g
+        self.z[i] += g - (np.sqrt(more) - np.sqrt(self.n[i])) / ALPHA * w
+        self.n[i] = more
+
+    def judge(self, c: int, i, v) -> None:
+        """Keep the logits of an example that was not learned from."""
+        self.judged.append((c, v @ self.weights(i)))
+
+    def temperature(self) -> float:
+        import numpy as np
+
+        best = (np.inf, 1.0)
+        for t in np.exp(np.linspace(-3, 2, 51)) if self.judged else []:
+            loss = -sum(np.log(max(1e-12, softmax(s / t)[c])) for c, s in self.judged)
+            best = min(best, (loss, t))
+        return float(best[1])
+
+
+def softmax(s):
     import numpy as np
 
-    z = np.zeros((FEATURES, classes))
-    n = np.zeros((FEATURES, classes))
-
-    def weights(i):
-        active = np.abs(z[i]) > L1
-        return np.where(active, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
-
-    def softmax(s):
-        e = np.exp(s - s.max())
-        return e / e.sum()
-
-    examples = [(c, np.asarray(i), np.asarray(v, float)) for c, i, v in rows]
-    kept_back = examples[::5] if len(examples) >= 50 else []
-    learned = [e for k, e in enumerate(examples) if not kept_back or k % 5]
-    rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
-        for k in rng.permutation(len(learned)):
-            c, i, v = learned[k]
-            w = weights(i)
-            p = softmax(v @ w)
-            p[c] -= 1
-            g = v[:, None] * p
-            more = n[i] + g * g
-            z[i] += g - (np.sqrt(more) - np.sqrt(n[i])) / ALPHA * w
-            n[i] = more
-    w = weights(np.arange(FEATURES))
-    best = (np.inf, 1.0)
-    logits = [(c, v @ w[i]) for c, i, v in kept_back]
-    for t in np.exp(np.linspace(-3, 2, 51)) if logits else []:
-        loss = -sum(np.log(max(1e-12, softmax(s / t)[c])) for c, s in logits)
-        best = min(best, (loss, t))
-    return w, float(best[1])
+    e = np.exp(s - s.max())
+    return e / e.sum()
 
 
 def held_out() -> Column:
@@ -135,9 +152,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     for r in sums:  # FEATURES + 1 rows at most
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    chosen = known.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
+    marked = known.withColumn("h", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HASHES)))
+    each = durable(marked.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).select("lang", "h"), "hashes")
+    sizes = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # hashes so low that twice the sample is expected below them; of these the least of a language, exactly
+    low = each.join(sizes, "lang").filter(F.col("h") <= F.lit(2.0 * sample * HASHES) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = low.select("lang", "h", rank.alias("k")).filter(F.col("k") <= sample)
+    # texts that share the hash of one that was chosen count as one
+    texts = marked.join(chosen, ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -145,14 +168,43 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             x = [weigh(ngram_counts(t), idf) for t in batch.column("text").to_pylist()]
             i = [np.flatnonzero(v).astype(np.int32) for v in x]
-            arrays = [batch.column("lang"), pa.array(i, pa.list_(pa.int32())), pa.array([v[k].astype(np.float32) for v, k in zip(x, i)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "i", "v"])
-
-    table = chosen.select("text", "lang").mapInArrow(features, "lang string, i array<int>, v array<float>").toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    rows = sorted(((langs.index(c), i, v) for c, i, v in zip(*(table.column(k).to_pylist() for k in ("lang", "i", "v")))), key=lambda r: (r[1][:50], r[2][:50], r[0]))
-    w, t = train(rows, len(langs)) if langs else (np.zeros((FEATURES, 0)), 1.0)
-    return {"langs": langs, "idf": idf.astype(np.float32), "w": w.astype(np.float32), "t": t}
+            arrays = [batch.column("lang"), batch.column("k"), pa.array(i, pa.list_(pa.int32())), pa.array([v[k].astype(np.float32) for v, k in zip(x, i)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "k", "i", "v"])
+
+    found = durable(texts.select("lang", "k", "text").mapInArrow(features, "lang string, k int, i array<int>, v array<float>"), "features")
+    langs = [r["lang"] for r in found.select("lang").distinct().orderBy("lang").collect()]  # a row a language
+    if not langs:
+        return {"langs": langs, "idf": idf.astype(np.float32), "w": np.zeros((FEATURES, 0), np.float32), "t": 1.0}
+    enough = found.count() >= 50  # fewer examples are all learned from, at temperature 1
+    # each example comes once an epoch, in an order of its own; every fifth one of a language is kept back and judged at the end
+    back = F.lit(enough) & (F.col("k") % 5 == 0)
+    turns = F.when(back, F.array(F.lit(EPOCHS))).otherwise(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
+    stream = found.withColumn("turn", F.explode(turns)).withColumn("at", F.xxhash64("lang", "k", "turn"))
+
+    def fitted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        number = {lang: c for c, lang in enumerate(langs)}
+        fitter = Fitter(len(langs))
+        for batch in batches:
+            for lang, turn, i, v in zip(*(batch.column(c).to_pylist() for c in ("lang", "turn", "i", "v"))):
+                act = fitter.judge if turn == EPOCHS else fitter.learn
+                act(number[lang], np.asarray(i), np.asarray(v, float))
+        t = fitter.temperature()
+        w = fitter.weights(slice(None)).astype(np.float32)
+        used = np.flatnonzero(w.any(axis=1))
+        for a in range(0, len(used), 256):
+            some = used[a : a + 256]
+            data = [x.tobytes() for x in w[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary()), pa.array([t] * len(some))], names=["feature", "w", "t"])
+
+    ordered = stream.select("lang", "turn", "at", "k", "i", "v").repartition(1).sortWithinPartitions("turn", "at", "lang", "k")
+    rows = ordered.mapInArrow(fitted, "feature int, w binary, t double").collect()  # the model: FEATURES rows at most
+    w, t = np.zeros((FEATURES, len(langs)), np.float32), 1.0
+    for r in rows:
+        w[r["feature"]] = np.frombuffer(r["w"], np.float32)
+        t = r["t"]
+    return {"langs": langs, "idf": idf.astype(np.float32), "w": w, "t": t}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -4,14 +4,17 @@ A word enters the network as a learned vector, the log odds of its class and the
 mean vector of its character trigrams, so unknown words still have their characters.
 The network reads overlapping windows of words in both directions; attention pools
 its states into one logit.  A document's score is the calibrated logit of its
-highest window.  All is trained in numpy, by one task, on a bounded sample of the
+highest window: FOLDS networks, each trained without one fold, judge the documents of
+that fold, and slope and offset are fitted to all of these logits; the network that
+scores is trained on all folds.  All is trained in numpy, by one task, on a bounded sample of the
 labelled documents (at most POSITIVES and NEGATIVES, of at most SAMPLE_CHARS
-characters each); every window of every whole text is scored.
+characters each); every window of every whole text is scored, block by block.
 
 Defined cases: texts without a word score 0; without labelled rows of both classes
 all score 0; rows with a null id or label are not learned from and a document
 labelled twice counts as toxic if one label says so; repeated rows are scored
-each; an empty table gives no rows; other columns are not read.
+each; an empty table gives no rows; other columns are not read, or kept as they are
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.common import named
+
 WINDOW, STRIDE = 40, 30
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 8
 BUCKETS = 4096
 POSITIVES, NEGATIVES, SAMPLE_CHARS = 3000, 4000, 20_000
 MIN_DF, MAX_VOCABULARY = 3, 100_000
-FOLDS = 5
+FOLDS = 4
 ROUNDS, EPOCHS, BATCH = 3, 3, 256
 #: Steps of a round at least; small samples go in smaller batches, more often.
 LEAST_STEPS = 80
@@ -39,25 +44,41 @@ THRESHOLD = 0.7
 #: Windows scored at once.
 CHUNK = 2048
 WORD = re.compile(r"[^\W\d_]+")
-#: Characters of a text split into words at once.
+#: Characters of a text split into words at once, and words whose windows start in one block.
 BLOCK = 1 << 20
+BLOCK_WORDS = STRIDE * 5000
 
 _loaded: list = []
 
 
-def words_of(text: str) -> list[str]:
-    """The lower-case words of a whole text."""
+def word_blocks(text: str) -> Iterator[list[str]]:
+    """The lower-case words of a whole text, block by block; no word is cut."""
     if len(text) <= BLOCK:
-        return WORD.findall(text.lower())
-    out: list[str] = []
+        yield WORD.findall(text.lower())
+        return
     at = 0
     while at < len(text):
         end = at + BLOCK
-        while end < len(text) and WORD.match(text[end]):  # no word is cut
+        while end < len(text) and WORD.match(text[end]):
             end += 1
-        out += WORD.findall(text[at:end].lower())
+        yield WORD.findall(text[at:end].lower())
         at = end
-    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a whole text."""
+    return [w for block in word_blocks(text) for w in block]
+
+
+def window_blocks(text: str) -> Iterator[list[str]]:
+    """Lists of words whose windows together are those of the whole text."""
+    held: list[str] = []
+    for words in word_blocks(text):
+        held += words
+        while len(held) >= BLOCK_WORDS + WINDOW:
+            yield held[: BLOCK_WORDS + WINDOW - STRIDE]  # its last window starts before BLOCK_WORDS
+            held = held[BLOCK_WORDS:]
+    yield held
 
 
 def trigrams(words: list[str]):
@@ -322,21 +343,40 @@ class Trainer:
         return order[first]
 
     def fit(self) -> dict:
-        """Train on the highest windows, chosen anew in each round, then calibrate on documents kept back."""
+        """The model of all folds, calibrated on the logits of networks that did not learn from a document."""
+        import numpy as np
+
+        logits, y = [], []
+        for fold in range(FOLDS):
+            self.train(fold)
+            rows = np.flatnonzero(self.fold[self.doc] == fold)
+            value = np.full(len(self.doc), -1e9, np.float32)
+            value[rows] = self.logits(rows)
+            top = self.best(value)
+            top = top[self.fold[self.doc[top]] == fold]
+            logits.append(value[top])
+            y.append(self.y[self.doc[top]])
+        a, b = calibrated(np.concatenate(logits), np.concatenate(y))
+        self.train(None)
+        return self.model() | {"a": a, "b": b}
+
+    def train(self, left_out: int | None) -> None:
+        """Train a new network on the highest windows, chosen anew in each round, of all folds but one."""
         import numpy as np
 
         rng = np.random.default_rng(3)
-        kept = self.fold == FOLDS - 1
-        learn = np.flatnonzero(~kept[self.doc])
-        value = np.zeros(len(self.doc), np.float32)
-        for a in range(0, len(self.doc), 50_000):
-            index, mask = gathered(self.flat, self.start[a : a + 50_000], self.end[a : a + 50_000])
-            odds = np.stack(self.odds[:FOLDS])[self.fold[self.doc[a : a + 50_000]][None, :], self.word[index]]
-            value[a : a + 50_000] = np.where(mask, odds, -9).max(axis=0)
+        self.net, self.state, self.steps = new_network(len(self.number) + 1), {}, 0
+        learn = np.flatnonzero(self.fold[self.doc] != (-1 if left_out is None else left_out))
+        value = np.full(len(self.doc), -1e9, np.float32)
+        for a in range(0, len(learn), 50_000):
+            some = learn[a : a + 50_000]
+            index, mask = gathered(self.flat, self.start[some], self.end[some])
+            odds = np.stack(self.odds[:FOLDS])[self.fold[self.doc[some]][None, :], self.word[index]]
+            value[some] = np.where(mask, odds, -9).max(axis=0)
+        clean = learn[self.y[self.doc[learn]] == 0]
         for turn in range(ROUNDS):
             top = self.best(value)
-            top = top[~kept[self.doc[top]]]
-            clean = learn[self.y[self.doc[learn]] == 0]
+            top = top[value[top] > -1e8]
             more = rng.choice(clean, min(len(clean), len(top)), replace=False) if len(clean) else clean
             rows = np.concatenate([top, more])
             y = self.y[self.doc[rows]]
@@ -346,22 +386,10 @@ class Trainer:
                 for a in range(0, len(order), batch):
                     part = order[a : a + batch]
                     self.step(rows[part], y[part], 0.01 / (1 + turn))
-            if turn < ROUNDS - 1:
-                hard = np.flatnonzero(value > np.quantile(value, 0.5)) if len(value) else np.zeros(0, int)
-                value = value - 100
+            if turn < ROUNDS - 1 and len(learn):
+                hard = learn[value[learn] >= np.quantile(value[learn], 0.5)]
+                value[learn] -= 100
                 value[hard] = self.logits(hard)
-        rows = self.best(np.where(kept[self.doc], self.logits(np.arange(len(self.doc))) if len(self.doc) < 60_000 else self._some(kept), -1e9))
-        rows = rows[kept[self.doc[rows]]]
-        a, b = calibrated(self.logits(rows), self.y[self.doc[rows]])
-        return self.model() | {"a": a, "b": b}
-
-    def _some(self, kept):
-        import numpy as np
-
-        out = np.zeros(len(self.doc), np.float32)
-        rows = np.flatnonzero(kept[self.doc])
-        out[rows] = self.logits(rows)
-        return out
 
     def model(self) -> dict:
         """What scoring needs: each known word's projected input, and that of unknown ones' characters."""
@@ -398,13 +426,41 @@ def score_texts(m: dict, texts: list[str]):
     """Scores of whole texts."""
     import numpy as np
 
+    top = np.full(len(texts), -np.inf)
+    lists: list[list[str]] = []
+    owners: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if lists:
+            np.maximum.at(top, owners, top_logits(m, lists))
+        lists.clear()
+        owners.clear()
+        held = 0
+
+    for k, text in enumerate(texts):
+        for words in window_blocks(text):
+            lists.append(words)
+            owners.append(k)
+            held += len(words)
+            if held >= BLOCK_WORDS:
+                flush()
+    flush()
+    out = np.zeros(len(texts))
+    has = top > -np.inf
+    out[has] = sigmoid(m["a"] * top[has] + m["b"])
+    return out
+
+
+def top_logits(m: dict, lists: list[list[str]]):
+    """The logit of the highest window of each list of words."""
+    import numpy as np
+
     get, extra = m["number"].get, {}
     flat: list[int] = []
-    sizes = []
     first = len(m["number"]) + 1
-    for text in texts:
-        words = words_of(text)
-        sizes.append(len(words))
+    for words in lists:
         for w in words:
             i = get(w)
             if i is None:
@@ -412,16 +468,15 @@ def score_texts(m: dict, texts: list[str]):
                 if i is None:
                     i = extra[w] = first + len(extra)
             flat.append(i)
-    out = np.zeros(len(texts))
+    top = np.full(len(lists), -np.inf)
     if not flat:
-        return out
+        return top
     table = m["known"]
     if extra:
         chars = mean_rows(m["chars"], *trigrams(list(extra)))
         table = np.vstack([table, m["base"] + chars @ m["wc"]])
     numbers = np.asarray(flat, np.int64)
-    start, end, doc = windows(sizes)
-    top = np.full(len(texts), -np.inf)
+    start, end, doc = windows([len(words) for words in lists])
     for a in range(0, len(start), CHUNK):
         index, mask = gathered(numbers, start[a : a + CHUNK], end[a : a + CHUNK])
         gates = table[index]
@@ -430,9 +485,7 @@ def score_texts(m: dict, texts: list[str]):
         b = recur(gates[::-1, :, n:], mask[::-1], m["ub"])[::-1]
         logits, _ = pool(m, np.concatenate([f, b], axis=2), mask)
         np.maximum.at(top, doc[a : a + CHUNK], logits)
-    has = top > -np.inf
-    out[has] = sigmoid(m["a"] * top[has] + m["b"])
-    return out
+    return top
 
 
 def held_out() -> Column:
@@ -479,11 +532,15 @@ def loaded(data: bytes) -> dict:
     return _loaded[1]
 
 
-def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None) -> DataFrame:
-    """Scores of ``docs``: (doc_id, held_out, score), or the columns ``keep`` and ``_score``."""
+def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Scores of ``docs``: (doc_id, held_out, score), or the columns ``keep`` and ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
-    kept, name = (keep, "_score") if keep else (["doc_id", "held_out"], "score")
+    if keep:  # columns go by their place, as they may have any names
+        kept = [f"c{i}" for i in range(len(keep))]
+        source, read = docs.select(*(c.alias(k) for c, k in zip(named(keep), kept))), kept[keep.index("text")]
+    else:
+        kept, read = ["doc_id", "held_out"], "text"
+        source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
@@ -492,16 +549,16 @@ def score(docs: DataFrame, model: bytes | None, keep: list[str] | None = None) -
         from leafgraph.llm.common import trim
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column(read).to_pylist()]
             scores = score_texts(loaded(held.value), texts) if held.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "found"])
             del texts, scores
             trim()
         _loaded.clear()  # a reused worker has other work to do
         trim()
 
-    schema = source.select(*kept).withColumn(name, F.lit(0.0)).schema
-    return source.mapInArrow(scan, schema)
+    out = source.mapInArrow(scan, source.select(*kept, F.lit(0.0).alias("found")).schema)
+    return out.toDF(*(keep or kept), name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

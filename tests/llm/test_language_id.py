@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from leafgraph.llm import language_id
 from leafgraph.llm.language_id import identify, ngram_counts
 
@@ -23,7 +26,7 @@ def test_blocks_count_every_gram_once(monkeypatch):
 def test_held_out_accuracy(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(WORDS[g]) for _ in range(rng.randint(2, 40))), g, "x", "y") for i, g in enumerate(rng.choices(list(WORDS), k=500))]
-    extra = [(None, "the of and", "en", "", ""), (1000, None, "en", "", ""), (1001, "", "fr", "", ""), (1002, "12 _ 34!", "de", "", ""), (1003, "the and of", None, "", ""), rows[0]]
+    extra = [(None, "the of and", "en", "", ""), (1000, None, "en", "", ""), (1001, "", "fr", "", ""), (1002, "12 _ 34! \u00b2 \u00bd \u2460", "de", "", ""), (1003, "the and of", None, "", ""), rows[0]]
     out = identify(spark.createDataFrame(rows + extra, DOCS)).collect()
     assert len(out) == len(rows) + len(extra)
     got = {r.doc_id: r for r in out}
@@ -38,3 +41,40 @@ def test_nothing_to_learn(spark):
     assert identify(spark.createDataFrame([], DOCS)).count() == 0
     assert identify(spark.createDataFrame([(1, "abc", None, "", "")], DOCS)).first().lang_pred == "und"
     assert identify(spark.createDataFrame([(1, "abc", "en", "", "")], DOCS)).first().lang_pred == "en"
+
+
+def test_steps_are_those_of_plain_ftrl():
+    """Weights after some steps, against the update rule written out for each coordinate."""
+    rng = np.random.default_rng(0)
+    classes, steps = 3, 40
+    fitter = language_id.Fitter(classes)
+    z, n = {}, {}
+    for _ in range(steps):
+        c, i, v = int(rng.integers(classes)), np.sort(rng.choice(50, 6, replace=False)), rng.random(6)
+        w = {}
+        for f in i.tolist():
+            for k in range(classes):
+                a, b = z.get((f, k), 0.0), n.get((f, k), 0.0)
+                sign = 1 if a > 0 else -1
+                w[f, k] = 0.0 if abs(a) <= language_id.L1 else -(a - sign * language_id.L1) / ((language_id.BETA + math.sqrt(b)) / language_id.ALPHA + language_id.L2)
+        s = [sum(x * w[f, k] for f, x in zip(i.tolist(), v)) for k in range(classes)]
+        e = [math.exp(x) for x in s]
+        for f, x in zip(i.tolist(), v):
+            for k in range(classes):
+                g = x * (e[k] / sum(e) - (k == c))
+                old = n.get((f, k), 0.0)
+                z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / language_id.ALPHA * w[f, k]
+                n[f, k] = old + g * g
+        fitter.learn(c, i, v)
+    assert all(abs(fitter.z[f, k] - x) < 1e-9 for (f, k), x in z.items()) and abs(fitter.z).sum() > 1
+
+
+def test_one_text_repeated_is_one_example(spark):
+    """The sample is bounded for each language, whatever is repeated, and every language is learned."""
+    rows = [(i, "the same text again and again", "en", "", "") for i in range(3000)]
+    rows += [(10_000 + i, f"{WORDS['de'][i % 20]} und {WORDS['de'][i * 7 % 20]} {i}", "de", "", "") for i in range(200)]
+    rows += [(20_000 + i, f"zz{chr(97 + i % 26)}{chr(97 + i // 26)} qq{chr(97 + i // 26)} {chr(97 + i % 26)}{chr(97 + i // 26)}xx", f"l{i}", "", "") for i in range(120) if zlib.crc32(str(20_000 + i).encode()) % 5]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), sample=50)
+    assert {"en", "de"} <= set(model["langs"]) and len(model["langs"]) == 2 + sum(r[0] >= 20_000 for r in rows)
+    got = language_id.predict(spark.createDataFrame([(1, "the same text again and again", "", "", ""), (2, "und der die nicht", "", "", "")], DOCS), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got}[2] == "de"
