@@ -60,3 +60,21 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert P.near_dedup(spark, out, "").count() == 3
     empty = spark.createDataFrame([], DOCS)
     assert P.exact_dedup(spark, empty, "").count() == P.near_dedup(spark, empty, "").count() == P.pii(spark, empty, "").count() == 0
+
+
+CLASH = "doc_id long, text string, _key string, _score string, _parts string, _new string, n_pii string, N_chars int, `a.b` string, uid long, component_id long, kept boolean"
+
+
+def test_clashing_names(spark, tmp_path):
+    d, _ = fixture(tmp_path, spark)
+    texts = ["a b c d e f g", "a  b c d e f g", "call 8.8.4.4", None, "", "w" * 10]
+    rows = [(i, t, f"k{i}", f"s{i}", f"p{i}", f"n{i}", f"c{i}", i, f"d{i}", -i, i, True) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASH)
+    for stage in (P.toxicity, P.exact_dedup, P.near_dedup, P.pii):
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], stage
+        got = {r[0]: tuple(r) for r in out.collect()}
+        change = {2} if stage is P.pii else set()
+        assert all(got[i] == rows[i] or i in change and got[i][2:] == rows[i][2:] for i in got), stage
+        assert len(got) == {P.toxicity: 6, P.exact_dedup: 4, P.near_dedup: 4, P.pii: 6}[stage], (stage, got)
+    assert {r.doc_id for r in P.packing(spark, docs, d).collect()} == set(range(6))
