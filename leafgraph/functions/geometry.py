@@ -134,3 +134,26 @@ def clamped(x: Box, width: Column, height: Column) -> Box:
     """A box cut to its page; the caller drops those without area."""
     zero = F.lit(0.0)
     return Box(F.greatest(zero, x.l), F.greatest(zero, x.t), F.least(width, x.r), F.least(height, x.b))
+
+
+def polygon_points(points: Column) -> Column:
+    """The corners of a polygon x, y, x, y, ... as structs; null unless it has four or more, in pairs."""
+    good = (F.size(points) >= 8) & (F.size(points) % 2 == 0)
+    corners = F.transform(F.sequence(F.lit(0), F.size(points) - 2, F.lit(2)), lambda i: F.struct(F.get(points, i).alias("x"), F.get(points, i + 1).alias("y")))
+    return F.when(good, corners)
+
+
+def polygon_anchor(points: Column) -> list[Column]:
+    """The left-most x and the top-most y of a polygon."""
+    left, top, _, _ = from_polygon(points)
+    return [left.alias("x"), top.alias("y")]
+
+
+def slot(x: Box, modality: Column, count: Column, index: Column) -> Box:
+    """The box of the ``index``-th of ``count`` sentences: its share of the parent's height; patches keep their own."""
+    n = F.greatest(F.lit(1), count)
+    i = F.greatest(F.lit(0), F.least(index, n - 1))
+    share = x.height / n
+    own = modality == "patch"
+    top = F.when(own, x.t).otherwise(x.t + i * share)
+    return Box(x.l, top, x.r, F.when(own | (i == n - 1), x.b).otherwise(top + share))

@@ -23,10 +23,21 @@ def norm_label(c: Column) -> Column:
     return F.translate(F.lower(strip(c)), "_-", "  ")
 
 
+#: Names of a table, and words in the names of the other kinds, in the order of tests.
+TABLES = ("bordered", "borderless", "table")
+KINDS = {"chart": ("chart", "graph", "plot"), "figure": ("figure", "diagram", "illustration"), "image": ("image", "photo", "picture")}
+
+
 def canonical_label(c: Column) -> Column:
     """table, chart, figure or image, in this order of tests; else the normalised label."""
     n = norm_label(c)
-    return F.when(n.contains("table"), "table").when(n.contains("chart"), "chart").when(n.contains("figure"), "figure").when(n.contains("image"), "image").otherwise(n)
+    out = F.when(n.isin(*TABLES), "table")
+    for kind, (first, *rest) in KINDS.items():
+        found = n.contains(first)
+        for word in rest:
+            found = found | n.contains(word)
+        out = out.when(found, kind)
+    return out.otherwise(n)
 
 
 def label_matches(label: Column, wanted: list[str]) -> Column:
@@ -65,7 +76,10 @@ def joined(order: str, text: str, separator: str) -> Column:
 
 
 def node_context(node_type: Column, page: Column, label: Column, modality: Column, text: Column) -> Column:
-    """What an embedder reads of a node: its facts, a line each, and its content or a placeholder."""
+    """What an embedder reads of a node: its facts, a line each, and its content or a placeholder.
+
+    The names of the lines and the placeholder are fixed values.
+    """
     kind = F.coalesce(F.nullif(F.lower(strip(node_type)), F.lit("")), F.lit("unknown"))
     named = lambda name, c: F.when(strip(c) != "", F.concat(F.lit(name + ": "), strip(c)))
     body = F.coalesce(F.nullif(strip(text), F.lit("")), F.lit("[EMPTY NODE CONTEXT]"))
@@ -76,15 +90,17 @@ def node_context(node_type: Column, page: Column, label: Column, modality: Colum
 
 
 def json_object(c: Column) -> Column:
-    """The JSON object in free text (fences and prose around it are dropped); null if there is none."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"```[A-Za-z]*", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    """The JSON object in free text (a fence and prose around it are dropped); null if there is none."""
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)^```(?:json)?", "")), r"```$", ""))
+    found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(F.get_json_object(found, "$").isNotNull(), found)
 
 
 def json_field(c: Column, field: str) -> Column:
-    """A field of the object in free text, or the whole text where it has none."""
-    found = F.get_json_object(json_object(c), f"$.{field}")
-    return F.coalesce(found, F.nullif(strip(c), F.lit("")))
+    """A field of the object in free text, empty where the object has none; the whole text where there is no object."""
+    found = json_object(c)
+    filled = found.isNotNull() & (F.coalesce(F.json_object_keys(found), F.array().cast("array<string>")) != F.array().cast("array<string>"))
+    return F.when(filled, strip(F.coalesce(F.get_json_object(found, f"$.{field}"), F.lit("")))).otherwise(strip(F.coalesce(c, F.lit(""))))
 
 
 def dot(a: Column, b: Column) -> Column:

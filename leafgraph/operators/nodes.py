@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.functions.geometry import Box
 from leafgraph.functions.text import modality, sentences
 
 NODE = ["doc_id", "page", "node_id", "node_type", "label", "modality", "text", "l", "t", "r", "b"]
@@ -13,8 +14,12 @@ NODE = ["doc_id", "page", "node_id", "node_type", "label", "modality", "text", "
 def coarse_nodes(chunks: DataFrame, regions: DataFrame) -> DataFrame:
     """Chunks as paragraphs, and regions as tables or images."""
     a = chunks.select("doc_id", "page", F.format_string("p%d_chunk_%03d", "page", "chunk").alias("node_id"), F.lit("chunk").alias("node_type"), F.lit("").alias("label"), F.lit("paragraph").alias("modality"), "text", "l", "t", "r", "b")
-    b = regions.select("doc_id", "page", F.format_string("p%d_%s_%03d", "page", "label", "region").alias("node_id"), F.lit("region").alias("node_type"), "label", modality(F.col("label")).alias("modality"), F.col("content").alias("text"), "l", "t", "r", "b")
-    return a.unionByName(b)
+    return a.unionByName(region_nodes(regions))
+
+
+def region_nodes(regions: DataFrame) -> DataFrame:
+    """Regions as tables or images."""
+    return regions.select("doc_id", "page", F.format_string("p%d_%s_%03d", "page", "label", "region").alias("node_id"), F.lit("region").alias("node_type"), "label", modality(F.col("label")).alias("modality"), F.col("content").alias("text"), "l", "t", "r", "b")
 
 
 def sentence_nodes(coarse: DataFrame) -> DataFrame:
@@ -70,13 +75,43 @@ def induced(edges: DataFrame, kept: DataFrame, keys: list[str], source: str = "s
     return a.join(kept.select(*keys, F.col(node).alias(target)), [*keys, target], "left_semi").select(edges.columns)
 
 
-def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A JSON document for each graph: its nodes, its edges, and how many there are."""
-    n = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "node_type", "page", "text", F.struct("l", "t", "r", "b").alias("bbox")))).alias("nodes"))
-    e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("source_id", "target_id", "relation", "score"))).alias("edges"))
-    both = n.join(e, "doc_id", "left")
-    stats = F.struct(F.size("nodes").alias("nodes"), F.coalesce(F.size("edges"), F.lit(0)).alias("edges"))
-    return both.select("doc_id", F.to_json(F.struct(stats.alias("stats"), "nodes", "edges")).alias("graph"))
+def box_json(box: str = "") -> Column:
+    """A box as graphs keep it: its edges and what follows from them."""
+    x = Box.of(box)
+    named = {"left": x.l, "top": x.t, "right": x.r, "bottom": x.b, "width": x.width, "height": x.height, "center_x": x.cx, "center_y": x.cy}
+    return F.struct(*(c.alias(n) for n, c in named.items()))
+
+
+#: Kinds of nodes in the order of a graph, and the fields that each has besides id, type, page, text and box.
+KINDS = {"line": ("metadata",), "chunk": ("line_ids",), "region": ("label", "score", "metadata"), "fine": ("modality", "parent_id", "metadata")}
+
+
+def payload(nodes: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """A JSON document for each graph: (doc_id, graph) with its document, stats, nodes and edges.
+
+    ``nodes(doc_id, node_type, node_ord, node_id, page, text, l, t, r, b)`` may have any of the fields of KINDS;
+    a node keeps those of its kind.  ``counts(doc_id, image_path, ocr_path, num_words, num_paragraph_lines,
+    num_region_lines)`` has what nodes and edges don't show.  The lists are those of one document.
+    """
+    given = [c for c in ("label", "score", "modality", "parent_id", "line_ids", "metadata") if c in nodes.columns]
+    own = lambda c: F.when(F.col("node_type").isin(*(k for k, v in KINDS.items() if c in v)), F.col(c)).alias(c)
+    node = F.struct(F.col("node_id").alias("id"), "node_type", "page", "text", box_json().alias("bbox"), *map(own, given))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("node_type"))
+    rows = F.array_sort(F.collect_list(F.struct(place.alias("k"), F.col("node_ord").alias("o"), F.col("node_id").alias("i"), node.alias("x"))))
+    n = nodes.groupBy("doc_id").agg(F.transform(rows, lambda s: s["x"]).alias("nodes"), *(F.count_if(F.col("node_type") == k).alias(f"_{k}") for k in KINDS))
+    listed = F.array_sort(F.collect_list(F.struct("edge_ord", F.struct("source_id", "target_id", "relation", F.coalesce("score", F.lit(1.0)).alias("score")).alias("x"))))
+    e = edges.groupBy("doc_id").agg(F.transform(listed, lambda s: s["x"]).alias("edges"))
+    both = n.join(e, "doc_id", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<source_id:string,target_id:string,relation:string,score:double>>)")))
+    if counts is not None:
+        both = both.join(counts, "doc_id", "left")
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if counts is not None and c in counts.columns else F.lit(0).cast("long")
+    stats = F.struct(
+        known("num_words").alias("num_words"), F.col("_line").alias("num_lines"), known("num_paragraph_lines").alias("num_paragraph_lines"), known("num_region_lines").alias("num_region_lines"),
+        F.col("_chunk").alias("num_chunks"), F.col("_region").alias("num_regions"), F.col("_fine").alias("num_fine_nodes"), F.size("edges").cast("long").alias("num_edges"),
+    )
+    path = lambda c: F.col(c) if counts is not None and c in counts.columns else F.lit(None).cast("string")
+    document = F.struct(path("image_path").alias("image_path"), path("ocr_path").alias("ocr_path"))
+    return both.select("doc_id", F.to_json(F.struct(document.alias("document"), stats.alias("stats"), "nodes", "edges")).alias("graph"))
 
 
 def save(graphs: DataFrame, path: str) -> None:

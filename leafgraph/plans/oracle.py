@@ -176,7 +176,7 @@ coarse AS (
   SELECT doc_id, page, printf('p%d_%s_%03d', page, label, region), 'region', label, CASE WHEN label = 'table' THEN 'table' ELSE 'image' END, content, l, t, r, b FROM regions
 )"""
 GRAPH = """
-nodes AS (SELECT vec_id AS node, ['line','chunk','region','fine'][label%4+1] AS node_type, 'class ' || label AS label, 'text of ' || vec_id AS text, label AS class, embedding::DOUBLE[] AS vec FROM embeddings),
+nodes AS (SELECT vec_id AS node, ['line','chunk','region','fine'][label%4+1] AS node_type, CASE WHEN label%4=3 THEN '' ELSE 'class ' || label END AS label, CASE WHEN label%4=3 THEN 'part ' || label ELSE '' END AS modality, 'text of ' || vec_id AS text, label AS class, embedding::DOUBLE[] AS vec FROM embeddings),
 edges AS (
   SELECT node AS source, lead(node) OVER (PARTITION BY class ORDER BY node) AS target, 'next' AS relation, node AS edge_ord FROM nodes QUALIFY target IS NOT NULL
   UNION ALL SELECT a.node, b.node, 'skip', 10000000000 + a.node FROM nodes a JOIN nodes b ON b.node = a.node+7
@@ -187,7 +187,7 @@ hubs AS (
   SELECT n.node, coalesce(i,0) AS deg_in, coalesce(o,0) AS deg_out, coalesce(i,0)+coalesce(o,0) AS deg, round(ln(1+coalesce(i,0)+coalesce(o,0)),6) AS hub
   FROM nodes n LEFT JOIN (SELECT source, count(*) AS o FROM edges GROUP BY 1) a ON a.source=n.node LEFT JOIN (SELECT target, count(*) AS i FROM edges GROUP BY 1) b ON b.target=n.node
 ),
-rel AS (SELECT q.node AS query, n.node, round((1+list_cosine_similarity(n.vec, q.vec))/2, 6) AS rel FROM nodes n JOIN nodes q ON q.node IN (0,1,2)),
+rel AS (SELECT q.node AS query, n.node, round((1+list_cosine_similarity(n.vec, q.vec))/2, 6) AS rel FROM nodes n JOIN nodes q ON q.node % 100 = 0),
 seeds AS (SELECT query, node AS seed, rel, row_number() OVER (PARTITION BY query ORDER BY rel DESC, node) AS rank FROM rel QUALIFY rank <= 5),
 scores AS (
   SELECT query, source, target, relation, edge_ord, round(coalesce(conf_off,0)::DECIMAL(12,6)*0.5::DECIMAL(4,3) + rel::DECIMAL(12,6) - hub::DECIMAL(12,6)*0.1::DECIMAL(4,3), 6)::DECIMAL(12,6) AS score
@@ -203,6 +203,16 @@ scored AS (
 )"""
 
 
+CAPPED = """
+      o1 AS (SELECT *, (target <> seed AND row_number() OVER (PARTITION BY query, seed, target ORDER BY e) = 1)::INT AS new FROM hop1),
+      c1 AS (SELECT *, 1 + sum(new) OVER (PARTITION BY query, seed ORDER BY e) AS n FROM o1), k1 AS (SELECT * FROM c1 WHERE e = 1 OR (n - new < 3 AND e - 1 < 4)),
+      s1 AS (SELECT query, seed, max(n) AS n, max(e) AS e FROM k1 GROUP BY ALL), f1 AS (SELECT k.query, k.seed, k.target AS node, k.e AS at FROM k1 k JOIN s1 USING (query, seed) WHERE new = 1 AND s1.n < 3 AND s1.e < 4),
+      o2 AS (SELECT f.query, f.seed, p.source, p.target, p.relation, f.at, p.k, s1.n AS n0, s1.e + row_number() OVER (PARTITION BY f.query, f.seed ORDER BY f.at, p.k) AS e,
+        (p.target <> f.seed AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.query=f.query AND k1.seed=f.seed AND k1.target=p.target) AND row_number() OVER (PARTITION BY f.query, f.seed, p.target ORDER BY f.at, p.k) = 1)::INT AS new
+        FROM f1 f JOIN pruned p ON p.query=f.query AND p.source=f.node JOIN s1 ON s1.query=f.query AND s1.seed=f.seed),
+      c2 AS (SELECT *, n0 + sum(new) OVER (PARTITION BY query, seed ORDER BY e) AS n FROM o2)"""
+
+
 def on(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + " "
 
@@ -267,7 +277,7 @@ SQL = {
     "relation_histogram": on(GRAPH) + "SELECT relation AS value, count(*) AS n FROM edges GROUP BY 1",
     "graph_stats": on(GRAPH) + "SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE node_type='line') AS n_lines, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(conf_off) FROM conf) AS n_confident",
     "node_search": on(GRAPH) + "SELECT node, node_type FROM nodes WHERE node_type IN ('line','region') AND contains(lower(text), 'text of 1')",
-    "facet_values": on(GRAPH) + "SELECT DISTINCT label FROM nodes",
+    "facet_values": on(GRAPH) + "SELECT DISTINCT label FROM nodes WHERE label <> ''",
     "induced_subgraph": on(GRAPH) + "SELECT source, target, relation FROM edges WHERE source IN (SELECT node FROM nodes WHERE node_type IN ('line','chunk')) AND target IN (SELECT node FROM nodes WHERE node_type IN ('line','chunk'))",
     "enrich_conf_off": on(GRAPH) + "SELECT source, target, relation, conf_off FROM conf",
     "enrich_degree_hub": on(GRAPH) + "SELECT * FROM hubs",
@@ -277,14 +287,7 @@ SQL = {
     "cse_seeds": on(GRAPH) + "SELECT * FROM seeds",
     "cse_edge_scores": on(GRAPH) + "SELECT query, source, target, relation, score::DOUBLE AS score FROM scores",
     "cse_expand_2hop": on(GRAPH) + "SELECT query, seed, hop, source, target, relation, score::DOUBLE AS score FROM selected",
-    "cse_expand_capped": on(GRAPH, """
-      o1 AS (SELECT *, (target <> seed AND row_number() OVER (PARTITION BY query, seed, target ORDER BY e) = 1)::INT AS new FROM hop1),
-      c1 AS (SELECT *, 1 + sum(new) OVER (PARTITION BY query, seed ORDER BY e) AS n FROM o1), k1 AS (SELECT * FROM c1 WHERE e = 1 OR (n - new < 3 AND e - 1 < 4)),
-      s1 AS (SELECT query, seed, max(n) AS n, max(e) AS e FROM k1 GROUP BY ALL), f1 AS (SELECT k.query, k.seed, k.target AS node, k.e AS at FROM k1 k JOIN s1 USING (query, seed) WHERE new = 1 AND s1.n < 3 AND s1.e < 4),
-      o2 AS (SELECT f.query, f.seed, p.source, p.target, p.relation, f.at, p.k, s1.n AS n0, s1.e + row_number() OVER (PARTITION BY f.query, f.seed ORDER BY f.at, p.k) AS e,
-        (p.target <> f.seed AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.query=f.query AND k1.seed=f.seed AND k1.target=p.target) AND row_number() OVER (PARTITION BY f.query, f.seed, p.target ORDER BY f.at, p.k) = 1)::INT AS new
-        FROM f1 f JOIN pruned p ON p.query=f.query AND p.source=f.node JOIN s1 ON s1.query=f.query AND s1.seed=f.seed),
-      c2 AS (SELECT *, n0 + sum(new) OVER (PARTITION BY query, seed ORDER BY e) AS n FROM o2)""")
+    "cse_expand_capped": on(GRAPH, CAPPED)
     + "SELECT query, seed, 1::BIGINT AS hop, e AS seq, source, target, relation FROM k1 UNION ALL SELECT query, seed, 2::BIGINT, e, source, target, relation FROM c2 WHERE n - new < 3 AND e - 1 < 4",
     "cse_subgraph_scores": on(GRAPH, """top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query, seed ORDER BY score DESC, node) <= 3),
       m AS (SELECT query, seed, round((sum(score)/count(*))::DECIMAL(18,12), 6)::DECIMAL(12,6) AS score FROM top GROUP BY ALL), z AS (SELECT query, seed, count(*) AS n_nodes FROM scored GROUP BY ALL)""")
@@ -292,12 +295,12 @@ SQL = {
     "cse_prune_topn": on(GRAPH, """kept AS (SELECT query, seed, node FROM scored JOIN rel USING (query, node) QUALIFY row_number() OVER (PARTITION BY query, seed ORDER BY (node=seed) DESC, greatest(score, rel::DECIMAL(12,6), 0) DESC, node) <= 3)""")
     + """SELECT k.query, k.seed, count(*) AS kept_nodes, (SELECT count(*) FROM selected s WHERE s.query=k.query AND s.seed=k.seed AND EXISTS (SELECT 1 FROM kept a WHERE a.query=s.query AND a.seed=s.seed AND a.node=s.source)
       AND EXISTS (SELECT 1 FROM kept a WHERE a.query=s.query AND a.seed=s.seed AND a.node=s.target)) AS kept_edges FROM kept k GROUP BY ALL""",
-    "context_block": on(GRAPH) + """SELECT query, seed, md5(string_agg('[' || node || '] type=' || node_type || ' rel=' || round(rel::DECIMAL(12,6),4)::DECIMAL(12,4) || ' final=' || round(score,4)::DECIMAL(12,4) || ' label=' || label || chr(10) || text, chr(10)||chr(10) ORDER BY score DESC, node)) AS context_md5
+    "context_block": on(GRAPH) + """SELECT query, seed, md5(string_agg('[' || node || '] type=' || node_type || ' rel=' || round(rel::DECIMAL(12,6),4)::DECIMAL(12,4) || ' final=' || round(score,4)::DECIMAL(12,4) || ' label=' || CASE WHEN label = '' THEN modality ELSE label END || chr(10) || text, chr(10)||chr(10) ORDER BY score DESC, node)) AS context_md5
       FROM scored JOIN nodes USING (node) JOIN rel USING (query, node) GROUP BY ALL""",
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "json_fallback": "SELECT conv_id, turn, CASE WHEN turn%2=0 THEN conv_id::VARCHAR ELSE 'plain words' END AS answer FROM conversations",
-    "label_canonical": """WITH x AS (SELECT p_partkey, ['data table','bar chart','figure 2','image/photo','plain text'][p_partkey%5+1] AS norm FROM part)
-      SELECT p_partkey, norm, CASE p_partkey%5 WHEN 0 THEN 'table' WHEN 1 THEN 'chart' WHEN 2 THEN 'figure' WHEN 3 THEN 'image' ELSE norm END AS canonical, p_partkey%5=1 AS is_chart, CASE WHEN p_partkey%5=0 THEN 'table' ELSE 'image' END AS modality FROM x""",
+    "label_canonical": """WITH x AS (SELECT p_partkey, ['data table','bar chart','figure 2','image/photo','borderless'][p_partkey%5+1] AS norm FROM part)
+      SELECT p_partkey, norm, CASE p_partkey%5 WHEN 1 THEN 'chart' WHEN 2 THEN 'figure' WHEN 3 THEN 'image' WHEN 4 THEN 'table' ELSE norm END AS canonical, p_partkey%5=1 AS is_chart, CASE WHEN p_partkey%5=0 THEN 'table' ELSE 'image' END AS modality FROM x""",
     "box_measures": on(REGIONS) + ("SELECT x.doc_id, " + ", ".join(f"round(({e})::DOUBLE,6) AS {n}" for n, e in {"h_overlap": hov("x", "y"), "v_overlap": vov("x", "y"), "h_ratio": hr("x", "y"), "gap": gap("x", "y"), "inter": inter("x", "y"), "align": align("x", "y"), "spatial": spatial("x", "y"), "sim": sim("x", "y"), "dist": f"sqrt(({cx('x')}-{cx('y')})**2+({cy('x')}-{cy('y')})**2)"}.items()) + " FROM regions x JOIN regions y ON x.doc_id=y.doc_id AND x.region=0 AND y.region=1"),
     "polygon_boxes": on(REGIONS) + "SELECT doc_id, region, l, t, r, b FROM regions",
     "distinct_entries": "SELECT event_type || '/' || user_id AS image, min(event_id) AS event_id FROM events GROUP BY 1",
@@ -306,5 +309,14 @@ SQL = {
     "bundle_missing": on(ASKED) + "SELECT DISTINCT substr(image, 5) AS file FROM asked WHERE substr(image, 5) NOT IN (SELECT c_custkey || '.png' FROM customer WHERE c_nationkey < 12)",
     "document_backfill": "SELECT c_custkey AS doc_id, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, (SELECT max(o_orderpriority) FROM orders WHERE o_custkey=c_custkey)) AS document FROM customer",
     "chunk_counts_by_doc": on(*PAGE) + "SELECT doc_id, count(DISTINCT chunk) AS n_chunks, count(*) AS n_lines FROM owners GROUP BY 1",
+    "embed_nodes": on(GRAPH, """words AS (SELECT node, unnest(string_split(lower(text), ' ')) AS w FROM nodes), hashed AS (SELECT node, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM words),
+      sums AS (SELECT node, h%64 AS d, sum(CASE WHEN (h >> 16)%2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM hashed GROUP BY ALL)""")
+    + """SELECT n.node, 64 AS dimensions, coalesce((SELECT string_agg(d || ':' || round(v / z, 4)::DECIMAL(6,4), ' ' ORDER BY d) FROM sums s, (SELECT sqrt(sum(v*v)) AS z FROM sums WHERE node=n.node) WHERE s.node=n.node AND v <> 0), '') AS filled FROM nodes n""",
+    "answer_questions": on(GRAPH) + """SELECT query, seed, arg_max(text, (score, -node)) AS answer, NULL::VARCHAR AS error FROM scored JOIN nodes USING (node) GROUP BY ALL""",
     "first_relations": on(GRAPH) + "SELECT relation, row_number() OVER (PARTITION BY relation ORDER BY edge_ord) AS n, source, target FROM edges QUALIFY n <= 10",
 }
+
+from leafgraph.plans.answer_oracle import SQL as _ANSWERS  # noqa: E402
+from leafgraph.plans.scan_oracle import SQL as _SCANS  # noqa: E402
+
+SQL |= _ANSWERS | _SCANS

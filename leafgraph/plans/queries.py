@@ -52,8 +52,9 @@ class Page:
     def inside(self) -> DataFrame:
         return regions.line_regions(self.lines, self.regions)
 
+    @functools.cache
     def owners(self) -> DataFrame:
-        return lines.chunk_chains(self.lines, lines.continues(self.lines, self.edges()))
+        return graph.stored(lines.chunk_chains(self.lines, lines.continues(self.lines, self.edges())))
 
     def chunks(self, owners: DataFrame | None = None) -> DataFrame:
         return lines.chunk_table(self.lines, owners if owners is not None else self.owners())
@@ -63,14 +64,14 @@ class Page:
 
 
 class Walk:
-    """The vector graph of a dataset with three questions."""
+    """The vector graph of a dataset; its questions are all vectors with an id divisible by 100."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.vectors = scans.vectors(spark, sf_dir)
         self.nodes = scans.vector_nodes(spark, sf_dir)
-        self.edges = subgraphs.edge_confidence(scans.vector_edges(spark, sf_dir), self.vectors)
+        self.edges = graph.stored(subgraphs.edge_confidence(scans.vector_edges(spark, sf_dir), self.vectors))
         self.hubs = subgraphs.degrees(self.nodes.select("node"), self.edges)
-        asked = self.vectors.filter("node IN (0, 1, 2)").select(F.col("node").alias("query"), F.col("vec").alias("qvec"))
+        asked = self.vectors.filter("node % 100 = 0").select(F.col("node").alias("query"), F.col("vec").alias("qvec"))
         self.rel = subgraphs.relevance(self.vectors.select("node", "vec"), asked)
         self.seeds = subgraphs.seeds(self.rel, self.nodes, PARAMS.top_k)
         self.scores = subgraphs.edge_scores(self.edges, self.hubs, self.rel, PARAMS)
@@ -229,7 +230,7 @@ def coarse_nodes(spark, d):
 
 @query
 def patch_grid(spark, d):
-    return nodes.patch_nodes(nodes.coarse_nodes(Page(spark, d).chunks().limit(0), Page(spark, d).regions), 2, 3).select("doc_id", "node_id", "parent_id", *(F.round(c, 6).alias(c) for c in "ltrb"))
+    return nodes.patch_nodes(nodes.region_nodes(Page(spark, d).regions), 2, 3).select("doc_id", "node_id", "parent_id", *(F.round(c, 6).alias(c) for c in "ltrb"))
 
 
 @query
@@ -365,7 +366,7 @@ def json_fallback(spark, d):
 
 @query
 def label_canonical(spark, d):
-    rows = scans.table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Data_Table", "bar-chart", "FIGURE 2", "image/photo", "plain_text"))), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("x"))
+    rows = scans.table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Data_Table", "bar-chart", "FIGURE 2", "image/photo", "Borderless"))), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("x"))
     return rows.select("p_partkey", T.norm_label(F.col("x")).alias("norm"), T.canonical_label(F.col("x")).alias("canonical"), T.label_matches(F.col("x"), ["chart"]).alias("is_chart"), T.modality(F.col("x")).alias("modality"))
 
 
@@ -432,7 +433,9 @@ def word_line_group(spark, d):
 @query
 def embed_nodes(spark, d):
     rows = scans.vector_nodes(spark, d).withColumn("context", F.col("text"))
-    return models.embed_nodes(rows).select("node", F.size("vec").alias("dimensions"))
+    filled = F.filter(F.transform(models.hashed_vector(F.col("context")), lambda x, i: F.struct(i.alias("i"), F.round(x, 4).cast("decimal(6,4)").alias("x"))), lambda s: s["x"] != 0)
+    shown = F.array_join(F.transform(filled, lambda s: F.concat_ws(":", s["i"].cast("string"), s["x"].cast("string"))), " ")
+    return models.embed_nodes(rows).select("node", F.size("vec").alias("dimensions"), shown.alias("filled"))
 
 
 @query
@@ -451,3 +454,6 @@ def chunk_counts_by_doc(spark, d):
 def first_relations(spark, d):
     w = Window.partitionBy("relation").orderBy("edge_ord")
     return scans.vector_edges(spark, d).withColumn("n", F.row_number().over(w).cast("long")).filter("n <= 10").select("relation", "n", "source", "target")
+
+
+from leafgraph.plans import answer_queries, scan_queries  # noqa: E402, F401  they register their queries

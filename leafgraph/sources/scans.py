@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.functions import geometry as G
@@ -29,6 +29,19 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(name, "*")
 
 
+def json_rows(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows (doc_id, value) of JSON objects, one a document: for corpora of more documents than a folder should have files."""
+    return rows.select("doc_id", F.from_json("value", schema).alias("x")).select("doc_id", "x.*")
+
+
+def block_types(listed: str) -> list[str]:
+    """The kinds of blocks in a comma-separated option; LINE if there is none."""
+    found = [x.strip().upper() for x in listed.split(",") if x.strip()]
+    if wrong := [x for x in found if x not in ("WORD", "LINE", "PAGE")]:
+        raise ValueError(f"unknown block types {', '.join(wrong)}")
+    return found or ["LINE"]
+
+
 def ocr_words(files: DataFrame, page: int | None = 1) -> DataFrame:
     """Words of polygon OCR with their boxes, in the order of the file; blank ones are dropped."""
     pages = files.select("doc_id", F.explode("recognitionResults").alias("p"))
@@ -68,23 +81,44 @@ def children(lines: DataFrame, words: DataFrame) -> DataFrame:
     return asked.join(words.select("doc_id", "id", "text"), ["doc_id", "id"])
 
 
+def listed_detections(value: Column) -> Column:
+    """The list in a JSON text that is an object with ``detections``, or the list itself."""
+    inside = F.from_json(value, f"struct<detections:array<{DETECTION}>>")["detections"]
+    bare = F.substring(F.ltrim(value), 1, 1) == "["
+    return F.when(bare, F.from_json(value, f"array<{DETECTION}>")).otherwise(inside)
+
+
 def detections(spark: SparkSession, path: str) -> DataFrame:
     """Layout detections of files that hold an object with a list, or the list alone."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("doc_id"), "value")
-    listed = F.coalesce(F.from_json("value", f"struct<detections:array<{DETECTION}>>")["detections"], F.from_json("value", f"array<{DETECTION}>"))
-    rows = raw.select("doc_id", F.posexplode(listed).alias("region", "d"))
+    listed = listed_detections(F.col("value"))
+    return detection_rows(raw.select("doc_id", listed.alias("listed")))
+
+
+def detection_rows(files: DataFrame) -> DataFrame:
+    """Detections of ``files(doc_id, listed)``, numbered in the order of their list."""
+    rows = files.select("doc_id", F.posexplode("listed").alias("region", "d"))
     box = [F.col("d.bbox_xyxy")[i].alias(c) for i, c in enumerate("ltrb")]
     return rows.select("doc_id", F.lit(1).alias("page"), "region", "d.label", "d.score", "d.content", *box)
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(QUESTIONS).json(path, multiLine=True).select(F.posexplode("data").alias("ord", "q"))
+    return question_rows(spark.read.schema(QUESTIONS).json(path, multiLine=True))
+
+
+def question_rows(files: DataFrame) -> DataFrame:
+    """Questions of ``files(data)``, in the order of their list."""
+    rows = files.select(F.posexplode("data").alias("ord", "q"))
     return rows.select("ord", F.col("q.questionId").alias("question_id"), "q.question", "q.image")
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
-    """Prior answers; entries without an id or an answer are ignored."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", ANSWERS)).alias("a"))
+    return answer_rows(spark.read.text(path, wholetext=True))
+
+
+def answer_rows(files: DataFrame) -> DataFrame:
+    """Prior answers of JSON texts ``files(value)``; entries without an id or an answer are ignored."""
+    rows = files.select(F.explode(F.from_json("value", ANSWERS)).alias("a"))
     return rows.select(F.col("a.questionId").alias("question_id"), "a.answer").filter("question_id IS NOT NULL AND answer IS NOT NULL")
 
 
@@ -128,7 +162,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("line", "chunk", "region", "fine")))
     rows = vectors(spark, sf_dir)
-    return rows.select("node", F.element_at(kinds, F.col("label") % 4 + 1).alias("node_type"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("label"), F.concat(F.lit("text of "), F.col("node").cast("string")).alias("text"))
+    kind, name = F.element_at(kinds, F.col("label") % 4 + 1), F.col("label").cast("string")
+    label, modality = F.when(kind != "fine", F.concat(F.lit("class "), name)).otherwise(""), F.when(kind == "fine", F.concat(F.lit("part "), name)).otherwise("")
+    return rows.select("node", kind.alias("node_type"), label.alias("label"), modality.alias("modality"), F.concat(F.lit("text of "), F.col("node").cast("string")).alias("text"))
 
 
 def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,5 +30,7 @@ def known(spark: SparkSession, path: str) -> DataFrame | None:
 
     try:
         return spark.read.parquet(path).select("question_id")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -72,7 +72,7 @@ def test_texts(spark):
     df = spark.createDataFrame([('```json\n{"answer": "a"}\n```',), ('so {"answer": "b"} ok',), ("[1]",), ('{"answer":',)], "x string")
     assert [r[0] for r in df.select(T.json_field(F.col("x"), "answer")).collect()] == ["a", "b", "[1]", '{"answer":']
     labels = spark.createDataFrame([(" Bar-Chart ",), ("Data_Table",), ("photo",)], "x string")
-    assert [tuple(r) for r in labels.select(T.canonical_label(F.col("x")), T.label_matches(F.col("x"), ["image"]), T.label_matches(F.col("x"), [])).collect()] == [("chart", False, True), ("table", False, True), ("photo", True, True)]
+    assert [tuple(r) for r in labels.select(T.canonical_label(F.col("x")), T.label_matches(F.col("x"), ["image"]), T.label_matches(F.col("x"), [])).collect()] == [("chart", False, True), ("data table", False, True), ("image", True, True)]
     v = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in v.select(T.cosine01(F.col("a"), F.col("b"))).collect()] == pytest.approx([0.9, 0.5, 0, 0.5])
 
@@ -118,7 +118,9 @@ def test_patches(spark):
     image = spark.createDataFrame([(1, 1, "i", "region", "image", "image", "", 0.0, 0.0, 100.0, 50.0)], "doc_id long, page int, node_id string, node_type string, label string, modality string, text string, l double, t double, r double, b double")
     out = nodes.patch_nodes(image, 2, 3).orderBy("node_id").collect()
     assert len(out) == 6 and out[-1].r == 100 and out[-1].b == 50 and [r.t for r in out] == [0] * 3 + [25] * 3
-    assert nodes.payload(image, graph.both_ways(spark.createDataFrame([(1, "i", "j", "r", 1.0)], "doc_id long, source_id string, target_id string, relation string, score double"), "back")).first().graph.startswith('{"stats":{"nodes":1,"edges":2}')
+    edges = graph.both_ways(spark.createDataFrame([(1, 0, "i", "j", "r", 1.0)], "doc_id long, edge_ord int, source_id string, target_id string, relation string, score double"), "back")
+    made = nodes.payload(image.withColumn("node_ord", F.lit(0)), edges).first().graph
+    assert '"num_regions":1,"num_fine_nodes":0,"num_edges":2}' in made and '"center_x":50.0' in made and '"label":"image"' in made and "modality" not in made
 
 
 def test_resume(spark):
@@ -187,3 +189,56 @@ def test_stream_answers_each_question_once(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         answer_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), solve, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.question_id, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_texts_for_models(spark):
+    from leafgraph.functions import prompts as P
+
+    df = spark.createDataFrame([("A-Chart", "  ", 2, "subgraph_001_x", " ", 0.25), ("borderless", " seen ", 1, "subgraph_002_y", "n1", 1.0)], "label string, ocr string, rank int, sid string, seed string, score double")
+    got = df.select(P.prompt_kind(F.col("label")).alias("k"), P.region_prompt(F.col("label"), F.col("ocr")).alias("p"), P.bundle_header(F.col("rank"), F.col("sid"), F.col("seed"), F.col("score"), F.array(F.lit(""), "ocr")).alias("h")).collect()
+    assert [r.k for r in got] == ["chart", "table"] and got[0].p == P.PROMPTS["chart"] and got[1].p.endswith("\nseen")
+    assert got[0].h.split("\n") == ["Expanded subgraph rank: 2", "Subgraph id: subgraph_001_x", "Seed node: [unknown]", "Subgraph score: 0.2500", "Associated region image node ids:   "]
+    texts = spark.createDataFrame([(" a ",), ("a</s>",), (None,)], "x string").select(P.instructed(F.col("x"), None, "</s>").alias("x")).collect()
+    assert [r.x for r in texts] == ["a</s>", "a</s>", "[EMPTY NODE CONTEXT]</s>"] and P.options(" a, ,b,") == ("a", "b") and P.options(None) == ()
+    replies = spark.createDataFrame([('{"summary": "s", "visible_text": ["v", " "], "region_type": ""}', "photo"), ("{broken", "photo"), (None, "x_y")], "reply string, label string")
+    a = replies.select(P.region_reply(F.col("reply"), F.col("label")).alias("a")).select("a.*").collect()
+    assert (a[0].region_type, a[0].summary, a[0].visible_text) == ("", "s", ["v"]) and (a[1].region_type, a[1].summary) == ("image", "{broken") and (a[2].region_type, a[2].summary, a[2].key_points) == ("x y", "", [])
+
+
+def test_seams(spark):
+    df = spark.createDataFrame([(1, "table", "cells"), (2, "title", "words"), (3, "photo", None)], "region long, label string, content string")
+    read = lambda: lambda prompts_, images: ['{"summary": "read"}' for _ in prompts_]
+    got = {r.region: r for r in models.analyse_regions(df, read).collect()}
+    assert got[1].graph_text == "Summary: read\n\nOCR text:\ncells" and got[2].graph_text == "words" and got[2].analysis is None and got[3].graph_text == "Summary: read"
+
+    def fails():
+        def run(prompts_, images):
+            raise RuntimeError("no")
+
+        return run
+
+    assert {r.error for r in models.analyse_regions(df, fails).collect()} == {"RuntimeError: no", None}
+    images = spark.createDataFrame([(1, bytearray(b"x"))], "doc_id long, content binary")
+    found = models.detect(images, lambda: lambda x: [("Chart", 0.3, [0, 0, 1, 1]), ("table", 0.9, [0, 0, 2, 2]), ("table", 0.1, [0, 0, 3, 3])])
+    assert [(r.region, r.label) for r in found.orderBy("region").collect()] == [(0, "table"), (1, "Chart")]
+    assert [r.label for r in models.detect(images, lambda: lambda x: [("Chart", 0.3, [0, 0, 1, 1]), ("table", 0.9, [0, 0, 2, 2])], ["chart"]).collect()] == ["Chart"]
+    assert models.resolved("hub/Big-2", {"big": int, "big-2": float})[0] is float and models.resolved("big", {"big": int}, accelerated=True)[1] == "cuda"
+    with pytest.raises(ValueError):
+        models.resolved("x", {"big": int})
+
+
+def test_capped_trace_and_joint_expansion(spark):
+    p, seed, rel, hubs, scores, chosen, _ = walk(spark, max_nodes=3)
+    traced = subgraphs.trace(chosen, subgraphs.pruned(scores, p))
+    assert traced.count() == 2 and subgraphs.extents(seed, chosen, p).first().stopped_early
+    two = seed.unionByName(spark.createDataFrame([(0, 2, 0.4, 2)], "query long, seed long, rel double, rank long"))
+    joint = subgraphs.expand(subgraphs.merged(two), subgraphs.pruned(scores, Expansion(top_m=2)), Expansion(top_m=2))
+    assert [(r.hop, r.source, r.target) for r in joint.orderBy("seq").collect()] == [(1, 0, 1), (1, 0, 2), (1, 2, 3), (2, 1, 0), (2, 1, 3), (2, 3, 4)]
+
+
+def test_many_questions_go_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)], "node long, vec array<double>")
+    q = v.select(F.col("node").alias("query"), F.col("vec").alias("qvec"))
+    whole = sorted(map(tuple, subgraphs.relevance(v, q).collect()))
+    monkeypatch.setattr(subgraphs, "BLOCK", 7)
+    assert sorted(map(tuple, subgraphs.relevance(v, q).collect())) == whole and len(whole) == 1600
