@@ -23,6 +23,8 @@ from leafgraph.llm.common import durable, texts_of
 
 CONTEXT = 4096
 END_ID = 2
+#: Characters of a text that are split into words at once; longer texts are cut at spaces.
+BLOCK = 4 << 20
 #: Bytes of words whose ids a worker remembers before it starts afresh.
 MEMORY_BYTES = 8 << 20
 
@@ -72,7 +74,18 @@ class WordIds:
         for c in "\n\t\r\x0b\x0c":
             if c in text:
                 text = text.replace(c, " ")
-        words = text.split(" ")
+        if len(text) <= BLOCK:
+            return self.ids(text.split(" "))
+        parts, at = [], 0
+        while at <= len(text):
+            end = text.find(" ", at + BLOCK)
+            end = len(text) if end < 0 else end
+            parts.append(self.ids(text[at:end].split(" ")))
+            at = end + 1
+        return b"".join(parts)
+
+    def ids(self, words: list[str]) -> bytes:
+        """The ids of some words in a row."""
         try:
             known = self.known
             return b"".join([known[w] for w in words])

@@ -61,3 +61,16 @@ def test_pack_is_a_partition_without_gaps(spark):
 
 def test_pack_of_nothing(spark):
     assert pack(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_ids_do_not_depend_on_blocks(monkeypatch):
+    import public_tokenizers
+
+    from leafgraph.llm import packing
+
+    ids_of = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " ", "one  two\n three " * 20, "a" * 500, "Été déjà 12.5 " * 30 + " "]
+    whole = [ids_of.encode(t) for t in texts]
+    for block in (1, 7, 100):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        assert [ids_of.encode(t) for t in texts] == whole
