@@ -19,6 +19,9 @@ HEAVY_SHARE = 2000
 #: Bytes of one Arrow batch sent to a Python worker (text columns are wide).
 ARROW_BATCH_BYTES = 8 << 20
 
+#: Bits of the map of document ids that texts are chosen with, 8 MB at any size.
+MAP_BITS = 1 << 26
+
 #: Bytes of a text that are split into words at once.
 TEXT_BLOCK = 4 << 20
 BLANK = re.compile(rb"[ \t-\r]")
@@ -98,21 +101,34 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
-def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, how: str | None = None) -> DataFrame:
     """Inner join of ``rows`` with one row of ``facts`` per key, whatever the skew.
 
     ``facts[size]`` is the number of rows with that key and ``total`` the number
     of all rows.  Rows of heavy keys (at most HEAVY_SHARE keys, so their facts are
-    broadcast) never meet in one task; the others go through an ordinary join.
+    broadcast) never meet in one task; the others go through an ordinary join, with the
+    strategy ``how`` if it should be the same at all sizes.
     """
     heavy = facts.filter(F.col(size) * HEAVY_SHARE >= F.lit(total))
     light = facts.filter(F.col(size) * HEAVY_SHARE < F.lit(total))
+    light = light.hint(how) if how else light
     few = F.broadcast(heavy)
     hot = rows.join(few, keys, "inner")
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, "inner")
     return hot.select(*rest.columns).unionByName(rest)
 
 
+def chosen_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with at least the ids in ``keys(key)``, through a broadcast map of MAP_BITS bits."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    bits = keys.select(place("key").alias("place")).groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket"))
+    bits = bits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
+    found = docs.withColumn("place", place("doc_id")).withColumn("bucket", F.expr("bitmap_bucket_number(place)"))
+    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = found.join(F.broadcast(bits), "bucket").filter(F.expr(f"getbit({byte}, cast(bitmap_bit_position(place) % 8 as int)) = 1"))
+    return found.select(*docs.columns)
+
+
 #: Edges (16 bytes each) that one task may join in memory.
 LOCAL_EDGES = 500_000
 

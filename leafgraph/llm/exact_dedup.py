@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import ARROW_BATCH_BYTES, durable, join_by_key, texts_of
+from leafgraph.llm.common import ARROW_BATCH_BYTES, chosen_texts, durable, join_by_key, texts_of
 
 #: Primes below 2**31, and one base for each.
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -211,12 +211,15 @@ def mismatches(docs: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) ->
     ids = members.groupBy(*key, "text_sha256", "keep_uid", "group_size").agg(F.max("stays").cast("int").alias("stays"), F.count(F.lit(1)).alias("n"))
     ids = durable(ids, "members")
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003)).alias("salt")
-    source = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string"), text_hash()).select(*key, "text", salt)
+    # only texts with the id of a member are dealt out
+    asked = ids.select(F.when(~F.col("none"), F.col("id")).alias("key"))
+    texts = chosen_texts(docs.select(doc_id.alias("doc_id"), F.col("text").cast("string"), salt), asked)
+    source = texts.select("doc_id", "text", text_hash(), "salt").select(*key, "text", "salt")
     total = ids.agg(F.sum("n")).first()[0] or 0
     found, facts = ["id", "none", "th"], ["text", "text_sha256", "keep_uid", "group_size"]
     # the text that stays comes once, however many rows have it
-    stay = join_by_key(source, ids.filter("stays = 1"), found, "n", total).select(*facts).distinct().withColumn("salt", F.lit(-1).cast("long"))
-    rows = stay.unionByName(join_by_key(source, ids, found, "n", total).select(*facts, "salt"))
+    stay = join_by_key(source, ids.filter("stays = 1"), found, "n", total, "merge").select(*facts).distinct().withColumn("salt", F.lit(-1).cast("long"))
+    rows = stay.unionByName(join_by_key(source, ids, found, "n", total, "merge").select(*facts, "salt"))
     chunks = rows.mapInArrow(cut, "gid long, part long, chunk long, role int, sha string, data binary")
     ordered = chunks.repartition("gid", "part", "chunk").sortWithinPartitions("gid", "part", "chunk", "role")
     return ordered.mapInArrow(compare, "keep_uid long, text_sha256 string").distinct()

@@ -37,7 +37,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import components, durable, join_by_key, texts_of, trim
+from leafgraph.llm.common import chosen_texts, components, durable, join_by_key, texts_of, trim
 from leafgraph.llm.simhash_dedup import SEED, near_duplicates, shingle_blocks
 
 SHINGLE = 5
@@ -52,8 +52,6 @@ COUNTED = 2_000_000
 FREQUENT = 4
 #: Tasks that the rows of one common hash are dealt to.
 SPREAD = 64
-#: Bits of the map of document ids that texts are chosen with, 8 MB at any size.
-MAP_BITS = 1 << 26
 #: Bytes of one Arrow batch; hashing a text takes several times its size.
 BATCH_BYTES = 2 << 20
 #: Partners of a pivot that are compared in one slot.
@@ -170,17 +168,6 @@ def repeated(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("token").mapInArrow(scan, "token long, key long, n long")
 
 
-def chosen_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` with at least the ids in ``keys(key)``, through a broadcast map of MAP_BITS bits."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
-    bits = keys.select(place("key").alias("place")).groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket"))
-    bits = bits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
-    found = docs.withColumn("place", place("doc_id")).withColumn("bucket", F.expr("bitmap_bucket_number(place)"))
-    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)), 16, 10) as int)"
-    found = found.join(F.broadcast(bits), "bucket").filter(F.expr(f"getbit({byte}, cast(bitmap_bit_position(place) % 8 as int)) = 1"))
-    return found.select(*docs.columns)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` whose texts are similar."""
 
