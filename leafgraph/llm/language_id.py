@@ -30,6 +30,8 @@ from leafgraph.llm.common import durable
 BITS = 13
 FEATURES = 1 << BITS
 SAMPLE = 800
+#: Rows of a table that is broadcast at most; a longer one is joined in the ordinary way.
+BROADCAST_ROWS = 1_000_000
 #: Values of a text's hash that choose the sample.
 HASHES = 1 << 40
 #: Characters whose n-grams are counted at once.
@@ -154,13 +156,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     marked = known.withColumn("h", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HASHES)))
     each = durable(marked.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).select("lang", "h"), "hashes")
-    sizes = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = durable(each.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    few = sizes.count() * sample <= BROADCAST_ROWS
+    light = F.broadcast if few else lambda df: df  # tables of a row a language, or of a sample
     # hashes so low that twice the sample is expected below them; of these the least of a language, exactly
-    low = each.join(sizes, "lang").filter(F.col("h") <= F.lit(2.0 * sample * HASHES) / F.col("n"))
+    low = each.join(light(sizes), "lang").filter(F.col("h") <= F.lit(2.0 * sample * HASHES) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = low.select("lang", "h", rank.alias("k")).filter(F.col("k") <= sample)
     # texts that share the hash of one that was chosen count as one
-    texts = marked.join(chosen, ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text"))
+    chosen = durable(chosen, "chosen")
+    texts = marked.join(light(chosen), ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
