@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 2000
 
 #: Bytes of one Arrow batch sent to a Python worker (text columns are wide).
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 
 #: Bits of the map of document ids that texts are chosen with, 8 MB at any size.
 MAP_BITS = 1 << 26
@@ -153,6 +153,9 @@ def united(batches: Iterator) -> Iterator:
             root[max(a, b)] = min(a, b)
     nodes = list(root)
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+    root.clear()
+    nodes.clear()
+    trim()
 
 
 def components(edges: DataFrame, tag: str = "cc", local: int = LOCAL_EDGES) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.llm.common import durable, texts_of
+from leafgraph.llm.common import durable, trim
 
 CONTEXT = 4096
 END_ID = 2
@@ -38,9 +38,11 @@ class WordIds:
     those of its words in order; each new word goes through ``tokenizers`` once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
         from tokenizers import Tokenizer
 
+        self.memory = memory
+
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
@@ -48,7 +50,7 @@ class WordIds:
     def learn(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
 
-        if self.held > MEMORY_BYTES:
+        if self.held > self.memory:
             self.known, self.held = {"": b""}, 0
         new: dict[str, bytes] = {}
         for at in range(0, len(words), 4000):
@@ -98,19 +100,20 @@ class WordIds:
             return b"".join([known[w] if w in known else more[w] for w in words])
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+def word_ids(path: str, memory: int = MEMORY_BYTES) -> WordIds:
+    held = _tokenizers.get(path)
+    if held is None or held.memory != memory:
+        held = _tokenizers[path] = WordIds(path, memory)
+    return held
 
 
-def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int = END_ID, memory: int = MEMORY_BYTES) -> DataFrame:
     """One row per piece: whole sequences of ``context`` ids, then what is left over."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids_of, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        ids_of, end = word_ids(tokenizer, memory), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -121,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int
                     out.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -187,13 +191,16 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int = END_ID, planner: Callable = plan
+    docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int = END_ID, planner: Callable = plan, memory: int = MEMORY_BYTES
 ) -> DataFrame:
-    """Pack ``docs(doc_id, text)``: the columns of ``pieces`` with sequence_id and offset."""
+    """Pack ``docs(doc_id, text)``: the columns of ``pieces`` with sequence_id and offset.
+
+    ``memory`` bounds the words whose ids a worker remembers; it changes time, never the result.
+    """
     spark = docs.sparkSession
     blocks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # (block, length) groups stay small even if one length has a third of all pieces
-    cut = durable(pieces(docs, tokenizer, context, end_id), "pieces").withColumn(
+    cut = durable(pieces(docs, tokenizer, context, end_id, memory), "pieces").withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(1)), F.lit(blocks))
     )
     counts = durable(cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "counts")
