@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Words of a shingle and least share of common shingles in the near-duplicate stage.
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bytes of words whose ids a packing worker remembers; few, as executors that ran the other stages are large.
+WORD_MEMORY = 2 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from leafgraph.llm.packing import pack
 
     ready(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORD_MEMORY)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
