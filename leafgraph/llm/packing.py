@@ -124,6 +124,8 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int
                     out.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        if memory < MEMORY_BYTES:  # where memory is short, a reused worker forgets its words
+            _tokenizers.clear()
         trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(

@@ -368,8 +368,8 @@ class Trainer:
         self.net, self.state, self.steps = new_network(len(self.number) + 1), {}, 0
         learn = np.flatnonzero(self.fold[self.doc] != (-1 if left_out is None else left_out))
         value = np.full(len(self.doc), -1e9, np.float32)
-        for a in range(0, len(learn), 50_000):
-            some = learn[a : a + 50_000]
+        for a in range(0, len(learn), 10_000):
+            some = learn[a : a + 10_000]
             index, mask = gathered(self.flat, self.start[some], self.end[some])
             odds = np.stack(self.odds[:FOLDS])[self.fold[self.doc[some]][None, :], self.word[index]]
             value[some] = np.where(mask, odds, -9).max(axis=0)
