@@ -17,7 +17,9 @@ The key is the setting ``spark.leafgraph.pii.key``.  A session without one draws
 own at random: its pseudonyms are linked within the session and to no other.
 
 Defined cases: null text stays null, empty text empty; what fails its check (Luhn,
-mod 97, a calendar, ranges) is left alone; a domain counts up to its last label, one of
+mod 97, a calendar, ranges) is left alone; an IBAN of a country of the registry ends at that
+country's length; a date dd/MM/yyyy is read as MM/dd/yyyy where that is a date, else (day
+over 12) it is permuted among the dates of that kind; a domain counts up to its last label, one of
 which, not the first, must be of 2 to 24 letters; telephone numbers are those of +1;
 other columns are kept as they are whatever their names, but for one named like the
 count (``n_pii``), which is replaced; repeated rows are each replaced alike; an empty table
@@ -39,11 +41,28 @@ KEY = "spark.leafgraph.pii.key"
 #: Hexadecimal digits of a digest that make one number, and such numbers in a digest.
 DIGITS, NUMBERS = 15, 4
 
+#: Lengths of IBANs by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern(length: int, countries: str) -> str:
+    """IBANs of these countries, without spaces or in groups of four."""
+    groups, rest = divmod(length - 4, 4)
+    last = f" [A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{'|'.join(countries.split())})\d{{2}}(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}{last})(?![A-Za-z0-9])"
+
+
 #: What can be a value; ``valid`` decides.  No pattern starts or ends inside a longer run.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2})(?:"
+    + "|".join(iban_pattern(n, c) for n, c in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9]))",
     "date": r"(?<![\d./-])(?:\d{4}(?<cut>[-/.])\d{2}\k<cut>\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?\d{3}|[2-9]\d{2}[.-][2-9]\d{2})[ .-]\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
@@ -56,6 +75,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[04-9]|6)"
 #: Days from 1800-01-01 to 2199-12-31: one cycle of the calendar, 146,097 = 189 x 773.
 FIRST_DAY, DAYS, DAY_BASES = "1800-01-01", 146_097, (189, 773)
+#: Turns to reach another day over 12, of which six in ten days are: fewer than one value in 10^25 needs more.
+WALK = 64
 
 
 def quoted(s: str) -> str:
@@ -148,9 +169,15 @@ def pseudonym(key: str) -> str:
     forms = {
         r"^\\d{4}-": "yyyy-MM-dd", r"^\\d{4}/": "yyyy/MM/dd", r"^\\d{4}[.]": "yyyy.MM.dd", r"^\\d{2}[.]": "dd.MM.yyyy", r"^\\d{2}/": "MM/dd/yyyy",
     }
-    date = "CASE " + " ".join(
-        f"WHEN m rlike '{r}' THEN transform(array(to_date(try_to_timestamp(m, '{f}'))), d -> if(d IS NULL OR {day} < 0 OR {day} >= {DAYS}, m, date_format({moved}, '{f}')))[0]"
-        for r, f in forms.items()
+
+    def dated(form: str, new: str) -> str:
+        return f"transform(array(to_date(try_to_timestamp(m, '{form}'))), d -> if(d IS NULL OR {day} < 0 OR {day} >= {DAYS}, m, date_format({new}, '{form}')))[0]"
+
+    # turned until the day is over 12 again, so no pseudonym reads as MM/dd/yyyy and different dates stay different
+    walked = f"aggregate(sequence(1, {WALK}), d, (w, n) -> if(n > 1 AND day(w) > 12, w, transform(array(w), d -> {moved})[0]))"
+    day_first = r"^(?:1[3-9]|[23]\\d)/"
+    date = f"CASE WHEN m rlike '{day_first}' THEN {dated('dd/MM/yyyy', walked)} " + " ".join(
+        f"WHEN m rlike '{r}' THEN {dated(f, moved)}" for r, f in forms.items()
     ) + " END"
 
     area = "cast(substr(m, 1, 3) AS bigint)"

@@ -80,6 +80,31 @@ def test_values_stay_linked_and_distinct(spark):
     assert len({t for t, _ in run(spark, days)}) == 400
 
 
+def test_day_first_dates(spark):
+    """Days over 12 before the month: one-to-one among themselves, apart from MM/dd/yyyy."""
+    days = [datetime.date(2019, 12, 20) + datetime.timedelta(k) for k in range(400)]
+    given = [f"{d:%d/%m/%Y}" for d in days if d.day > 12]
+    got = run(spark, [f"le {g}." for g in given])
+    new = [datetime.datetime.strptime(t[3:-1], "%d/%m/%Y").date() for t, _ in got]
+    assert all(d.day > 12 for d in new) and len(set(new)) == len(given) > 200
+    assert [n for _, n in run(spark, ["31/02/2023", "30/13/2023", "32/01/2023", "29/02/2023", "29/02/2024"])] == [0, 0, 0, 0, 1]
+
+
+def test_ibans_end_at_their_length(spark):
+    """A word or number in capitals after a spaced IBAN isn't part of it."""
+    known = ["ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "BE68 5390 0754 7034", "FR14 2004 1010 0505 0001 3M02 606"]
+    for after in (" I", " 1234", " AND MORE", " 12", "", ", X"):
+        got = run(spark, [f"to {v}{after} end" for v in known])
+        for v, (text, n) in zip(known, got):
+            new = text[3 : 3 + len(v)]
+            assert n == 1 and new != v and new[:2] == v[:2] and iban_ok(new) and text[3 + len(v) :] == f"{after} end", (v, after, text)
+    # the spaced and the plain form stay linked; countries outside the registry go by mod 97 alone
+    plain, spaced = (t for t, _ in run(spark, [known[0].replace(" ", ""), known[0]]))
+    assert plain == spaced.replace(" ", "")
+    other = next(f"ZZ{k:02}1234567890123" for k in range(2, 99) if iban_ok(f"ZZ{k:02}1234567890123"))
+    assert run(spark, [other])[0][1] == 1
+
+
 def test_edges(spark):
     long = "word " * 50_000
     got = run(spark, [None, "", long + "8.8.8.8", "4465758382889437 4465758382889437", "x\n8.8.8.8\n"])
