@@ -231,20 +231,25 @@ def linked_documents(docs: DataFrame, shingle: int, least_share: Fraction) -> Da
     rows = distinct_buckets(durable(repeated(leading(docs, shingle, least_share, common)), "leading"), least_share)
     total = rows.count()
 
+    groups = None  # of the edges so far
     for step in range(ROUNDS + 1 if total else 0):
-        groups = durable(components(edges), "groups")
+        groups = durable(components(edges), "groups") if groups is None else groups
         known = grouped(rows, groups)
         if step < ROUNDS:
             known = known.withColumn("class", F.floor(F.log("n") / F.log(F.lit(float(1 / least_share))) + step / ROUNDS))
             first = F.struct("lone", F.xxhash64("key").alias("x"), "key", "n", "root")
             mixed = known.groupBy("token", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("p"), F.count(F.lit(1)).alias("size"))
             mixed = durable(mixed.filter((F.col("low") != F.col("high")) & (F.col("size") > DENSE)).select("token", "class", "p", "size"), "mixed")
+            if mixed.isEmpty():
+                continue
             left = join_by_key(known, mixed, ["token", "class"], "size", total)
             met = left.filter(F.col("root") != F.col("p.root")).select(F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m"))
             pairs = met.filter(alike(least_share)).select("a", "b").distinct()
         else:
             mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
             mixed = durable(mixed.filter("low <> high").select("token", "size"), "mixed")
+            if mixed.isEmpty():
+                break
             left = durable(join_by_key(known, mixed, ["token"], "size", total).select("token", "size", "key", "n", "w", "s", "root"), "left")
             # a hash of many members is split: each task holds a share of them and meets all others
             parts = F.ceil(F.col("size") / SPLIT)
@@ -257,8 +262,8 @@ def linked_documents(docs: DataFrame, shingle: int, least_share: Fraction) -> Da
         either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = durable(pairs.join(either, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        edges = durable(edges.unionByName(verified(pairs, docs, shingle, least_share)), "edges")
-    named = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+        edges, groups = durable(edges.unionByName(verified(pairs, docs, shingle, least_share)), "edges"), None
+    named = (components(edges) if groups is None else groups).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     return start.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

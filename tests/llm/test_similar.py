@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -85,3 +86,30 @@ def test_a_repeated_line_alone_does_not_link(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar_documents(docs).collect()}
     assert got == {i: i for i in range(20)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
+def test_rounds_without_crowds_read_no_texts(spark, monkeypatch):
+    """Rounds in which nothing is left to compare are left out, with their tables and exchanges (driver's memory)."""
+    calls, verified = [], similar.verified
+    monkeypatch.setattr(similar, "verified", lambda *a: calls.append(1) or verified(*a))
+    base = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(base if k < 2 else [f"u{k}"] * 10 + [f"v{k}x{i}" for i in range(50)])) for k in range(8)]
+    found = dict(map(tuple, similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert found == {k: 0 if k < 2 else k for k in range(8)}
+    assert len(calls) == 1
+
+
+def test_the_driver_gives_back_what_it_freed(spark):
+    from leafgraph.llm.common import release
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    size = min(int(0.3 * heap.maxMemory()), 2_000_000_000)
+    held = [spark.sparkContext._gateway.new_array(spark._jvm.long, size // 8) for _ in range(2)]
+    assert heap.totalMemory() > 2 * size
+    del held
+    for _ in range(20):  # the gateway lets go of them a little later
+        time.sleep(0.5)
+        release(spark)
+        if heap.totalMemory() - heap.freeMemory() < size:
+            break
+    assert heap.totalMemory() - heap.freeMemory() < size
